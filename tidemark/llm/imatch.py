@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, read, small_batches, texts
 
 EDGES = string.punctuation + "¡¿«»“”„‘’…–—"
-#: Three random orders of the lexicon; of each the subsets that keep a half, a quarter, ... of the one before.
-SEEDS = np.random.default_rng(9).integers(1, 2**63, 3, dtype=np.uint64) | np.uint64(1)
+#: Eight random orders of the lexicon; of each the subsets that keep a half, a quarter, ... of the one before.
+SEEDS = np.random.default_rng(9).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 LIMITS = (2.0 ** (64 - np.arange(1, 12))).astype(np.uint64)
 
 
@@ -66,7 +66,7 @@ def signature(text: str, kept: dict[str, int]) -> list[tuple[int, int]]:
     for seed in SEEDS:
         order = np.sort((hashes ^ seed) * np.uint64(0x9E3779B97F4A7C15))
         for n in [len(order), *np.searchsorted(order, LIMITS).tolist()]:
-            out.append((min(n, 255), digest(order[:n].tobytes()) & 0xFFFFFFFF))
+            out.append((min(n, 255), digest(order[:n].tobytes()) & 0xFFFF))
     return out
 
 
@@ -79,14 +79,14 @@ def likeness(a, b) -> float:
     agree = total = 0.0
     for (n, x), (m, y) in zip(a, b, strict=True):
         if n or m:
-            weight = 1 / max(n, m) ** 2
+            weight = 1 / max(n, m)
             total += weight
             agree += weight * (n == m and x == y)
     return agree / total if total else 1.0
 
 
 def written(sig) -> str:
-    return "".join(f"{n:02x}{x:08x}" for n, x in sig)
+    return "".join(f"{n:02x}{x:04x}" for n, x in sig)
 
 
 def fingerprint_documents(docs: DataFrame, kept: dict[str, int]) -> DataFrame:

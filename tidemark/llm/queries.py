@@ -5,14 +5,20 @@ from __future__ import annotations
 from tidemark.llm.bpe import op7_byte_bpe
 from tidemark.llm.imatch import op9_imatch_fingerprints
 from tidemark.llm.packing import op8_best_fit_packing
+from tidemark.llm.quality import op1_bradley_terry_quality
 from tidemark.llm.simhash import op3_simhash_near_dedup
 from tidemark.llm.token_counts import op10_edit_aware_token_counts
+from tidemark.llm.toxicity import op4_toxicity_nearest
+from tidemark.llm.warc import OP2_SQL, op2_warc_index_merge
 
 QUERIES = {
+    "op1_bradley_terry_quality": op1_bradley_terry_quality,
+    "op2_warc_index_merge": op2_warc_index_merge,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_toxicity_nearest": op4_toxicity_nearest,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_imatch_fingerprints": op9_imatch_fingerprints,
     "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_warc_index_merge": OP2_SQL}
