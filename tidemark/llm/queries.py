@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op7_byte_bpe
+from tidemark.llm.embedding_dedup import op6_projection_passes
 from tidemark.llm.imatch import op9_imatch_fingerprints
+from tidemark.llm.line_dedup import op5_line_dedup
 from tidemark.llm.packing import op8_best_fit_packing
 from tidemark.llm.quality import op1_bradley_terry_quality
 from tidemark.llm.simhash import op3_simhash_near_dedup
@@ -16,6 +18,8 @@ QUERIES = {
     "op2_warc_index_merge": op2_warc_index_merge,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity_nearest": op4_toxicity_nearest,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_projection_passes": op6_projection_passes,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_imatch_fingerprints": op9_imatch_fingerprints,

@@ -89,14 +89,16 @@ class Model:
     calibration: tuple[float, float]
     base: float
     unknown: float
+    shrink: float = 6.0
 
     def vote(self, counts: dict[str, int], without: int | None = None):
-        """Weighted share of toxic among the nearest (near 1: weight grows as the distance falls), and the evidence."""
+        """Weighted share of toxic among the nearest (the weight grows as the distance falls), drawn towards
+        the base rate as by ``shrink`` far examples, and the evidence."""
         found, cosines = self.index.nearest(counts, self.k, without)
         if not len(found):
             return None, found, cosines
-        weights = 1 / (1.001 - np.minimum(cosines, 1.0))
-        return float((weights @ self.index.labels[found] + self.base) / (weights.sum() + 1)), found, cosines
+        weights = 1 / (1.1 - np.minimum(cosines, 1.0))
+        return float((weights @ self.index.labels[found] + self.shrink * self.base) / (weights.sum() + self.shrink)), found, cosines
 
     def calibrated(self, vote: float | None) -> float:
         if vote is None:
@@ -105,7 +107,7 @@ class Model:
         return float(1 / (1 + math.exp(-max(-40.0, min(40.0, a * (2 * vote - 1) + b)))))
 
 
-def train(docs: DataFrame, labels: DataFrame, k: int = 9, terms: int = 4096, examples: int = 4096, least: float = 20.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, k: int = 31, terms: int = 4096, examples: int = 4096, least: float = 40.0) -> Model:
     """Index labelled examples and calibrate their votes, each example without itself.
 
     The vocabulary is the ``terms`` terms that part the labels most (chi-square over ``least``, counted over all labelled
