@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.plans import relational, rolling, statistics
+
 FLAGSHIP = "factor_chain_pct60"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL}
