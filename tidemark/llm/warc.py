@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import gzip
 import hashlib
 import math
 import re
@@ -71,10 +72,13 @@ def records(pages: DataFrame, epoch: int = 1_700_000_000) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = 8_000_000) -> None:
-    """Write ``pages`` as WARC files of about ``file_bytes`` under ``path``: a record's own end, two empty lines, separates them."""
+    """Write ``pages`` as gzipped WARC files of about ``file_bytes`` before compression under ``path``.
+
+    A record's own end, two empty lines, separates them. A file is one gzip member, so it is read as a whole.
+    """
     mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 1.0
     rows = max(1, min(1_000_000, int(file_bytes / (mean + 600))))
-    records(classified(pages)).write.option("lineSep", END).option("maxRecordsPerFile", rows).text(path)
+    records(classified(pages)).write.option("lineSep", END).option("maxRecordsPerFile", rows).option("compression", "gzip").text(path)
 
 
 def parse_archive(content: bytes):
@@ -99,7 +103,7 @@ def _page(urn: str | None) -> int | None:
 def captures(content: bytes) -> list[tuple]:
     """The archive's captures as a run sorted by (url_key, captured_at, page_id); a response's digest is computed anew."""
     run = []
-    for headers, block in parse_archive(content):
+    for headers, block in parse_archive(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
         raw = bytes(block)
         http_end = raw.index(b"\r\n\r\n") + 4
         http = dict(x.split(": ", 1) for x in raw[: http_end - 4].decode().split("\r\n")[1:])
