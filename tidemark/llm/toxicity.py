@@ -27,8 +27,9 @@ def term_counts(text: str, vocabulary=None) -> dict[str, int]:
 class BlockMaxIndex:
     """Unit TF-IDF vectors of examples as postings by term, in blocks of ``block`` examples with each term's largest weight.
 
-    A query bounds every block by its terms' block maxima and opens blocks in falling order of the bound, until no bound
-    exceeds the k-th best cosine found: the k nearest are exact.
+    A query bounds every block by its terms' block maxima. It opens blocks in falling order of the bound, in
+    waves that grow; blocks whose bound is under the k-th best cosine found stay closed: the k nearest are exact. Terms
+    that a sixteenth of the examples or more hold have a full row of weights in place of postings.
     """
 
     def __init__(self, idf: dict[str, float], examples: list[tuple[int, dict[str, int], int]], block: int = 64):
@@ -49,6 +50,13 @@ class BlockMaxIndex:
         self.maxima = np.zeros(len(self.terms) * self.blocks)
         np.maximum.at(self.maxima, cell, self.weight)
         self.maxima = self.maxima.reshape(len(self.terms), self.blocks)
+        frequent = np.nonzero(np.bincount(term, minlength=len(self.terms)) * 16 >= max(1, len(vectors)))[0]
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.blocks * block))
+        full = self.row[term] >= 0
+        self.rows[self.row[term[full]], example[full]] = weight[full]
+        self.rows = self.rows.reshape(len(frequent), self.blocks, block)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Indices and weights, of length 1; empty where no term is known."""
@@ -66,21 +74,45 @@ class BlockMaxIndex:
             return np.zeros(0, np.int64), np.zeros(0)
         bounds = w @ self.maxima[at]
         best, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < kth - 1e-9:
+        rest, wave = np.argsort(-bounds, kind="stable"), -(-4 * k // self.block)
+        while True:
+            rest = rest[(bounds[rest] > 0) & (bounds[rest] >= kth - 1e-9)]
+            if not len(rest):
                 break
-            first, end = self.starts[at * self.blocks + b], self.starts[at * self.blocks + b + 1]
-            sizes = end - first
-            picked = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            sums = np.bincount(self.example[picked] - b * self.block, weights=self.weight[picked] * np.repeat(w, sizes), minlength=self.block)
-            hit = np.nonzero(sums > 0)[0]
-            hit = hit[self.docs[hit + b * self.block] != without] if without is not None else hit
-            best, cosines = np.concatenate([best, hit + b * self.block]), np.concatenate([cosines, sums[hit]])
-            order = np.lexsort((self.docs[best], -np.round(cosines, 12)))[:k]
-            best, cosines = best[order], cosines[order]
+            more, found = self._open(rest[:wave], at, w, k, without)
+            best, cosines = self._best(np.concatenate([best, more]), np.concatenate([cosines, found]), k)
             kth = cosines[-1] if len(best) == k else 0.0
+            rest, wave = rest[wave:], wave * 8
         return best, cosines
 
+    def _open(self, blocks: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, without: int | None):
+        """The k nearest within ``blocks``: the weights of the query's terms are summed for all of them in one go."""
+        row = self.row[at]
+        frequent, row = row >= 0, row[row >= 0]
+        sums = np.zeros(self.blocks * self.block)
+        if not frequent.all():
+            cells = at[~frequent][:, None] * self.blocks + blocks
+            first = self.starts[cells].ravel()
+            sizes = self.starts[cells + 1].ravel() - first
+            ends = np.cumsum(sizes)
+            picked = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
+            factor = np.repeat(w[~frequent], sizes.reshape(cells.shape).sum(axis=1))
+            sums += np.bincount(self.example[picked], weights=self.weight[picked] * factor, minlength=len(sums))
+        if len(row):
+            sums.reshape(self.blocks, self.block)[blocks] += (w[frequent] @ self.rows[row[:, None], blocks].reshape(len(row), -1)).reshape(-1, self.block)
+        hit = np.nonzero(sums > 0)[0]
+        if without is not None:
+            hit = hit[self.docs[hit] != without]
+        return self._best(hit, sums[hit], k)
+
+    def _best(self, examples: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rounded = np.round(cosines, 12)
+        if len(examples) > k:
+            near = rounded >= np.partition(rounded, len(rounded) - k)[len(rounded) - k]
+            examples, cosines, rounded = examples[near], cosines[near], rounded[near]
+        order = np.lexsort((self.docs[examples], -rounded))[:k]
+        return examples[order], cosines[order]
+
 
 @dataclass(frozen=True)
 class Model:
