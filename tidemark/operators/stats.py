@@ -50,3 +50,22 @@ def forecast_metrics(pred: Column, actual: Column) -> dict[str, Column]:
         "up_recall": F.count_if(hit & (actual > 0)) / F.nullif(F.count_if(decided & (actual > 0)), F.lit(0)),
         "down_recall": F.count_if(hit & (actual < 0)) / F.nullif(F.count_if(decided & (actual < 0)), F.lit(0)),
     }
+
+
+def circular_shift_test(df: DataFrame, x: str, y: str, keys: list[str], step: int = 1, order: str = "s") -> DataFrame:
+    """(keys, ic, shifts, p): the correlation per group against those with ``y`` turned round by multiples of ``step``.
+
+    ``p`` counts shifts that do as well in size, itself included. Each shift is an equi-join on the position in the group;
+    rows with a null are left out first. Columns are whole numbers.
+    """
+    w = Window.partitionBy(*keys)
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    at = both.select(*keys, F.col(x).alias("a"), F.col(y).alias("b"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("size"))
+    turned = at.withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(step).cast("long")))).withColumn("i", (F.col("i") + F.col("shift")) % F.col("size"))
+    pairs = turned.drop("b").join(at.select(*keys, "i", "b"), [*keys, "i"])
+    ics = pairs.groupBy(*keys, "shift").agg(exact_correlation(F.col("a"), F.col("b")).alias("ic"))
+    own = F.max(F.when(F.col("shift") == 0, F.col("ic"))).over(w)
+    ics = ics.withColumn("own", own)
+    as_good = F.count_if((F.col("shift") > 0) & (F.abs("ic") >= F.abs("own") - 1e-12))
+    shifts = F.count_if(F.col("shift") > 0)
+    return ics.groupBy(*keys).agg(F.max("own").alias("ic"), shifts.alias("shifts"), ((as_good + 1) / (shifts + 1)).alias("p"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import relational, rolling, statistics
+from tidemark.plans import relational, rolling, simulation, statistics
 
 FLAGSHIP = "factor_chain_pct60"
-QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES, **simulation.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL, **simulation.ORACLE_SQL}
