@@ -78,3 +78,39 @@ def test_stage_keeps_columns_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, n_chars long")
     out = stage(spark, df, "")
     assert out.columns == df.columns and out.count() == 0
+
+
+def plain_brute(rows, min_chars=120):
+    """Any run of equal lines of ``min_chars`` or more that was seen earlier, line by line."""
+    cut = {d: [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t) if x] for d, t in rows}
+    same = {d: [x.strip(" \t\r\n") for x in lines] for d, lines in cut.items()}
+    out = {}
+    for d, own in same.items():
+        gone = set()
+        for e, other in same.items():
+            for q in range(len(other) if e <= d else 0):
+                for p in range(q + 1 if e == d else 0, len(own)):
+                    k = 0
+                    while p + k < len(own) and q + k < len(other) and own[p + k] == other[q + k]:
+                        k += 1
+                    if sum(len(x) for x in cut[d][p : p + k]) >= min_chars:
+                        gone |= set(range(p, p + k))
+        out[d] = "".join(x for i, x in enumerate(cut[d]) if i not in gone)
+    return set(out.items())
+
+
+def test_every_repeat_goes(spark):
+    rng = random.Random(6)
+    long, pair = line(rng, 60) + "\n", [line(rng, 14) + ". ", line(rng, 14) + "\n"]
+    mixed = [line(rng, 25) + ". ", "So it is. ", line(rng, 25) + "! "]
+    tiny = [w + "\n" for w in line(rng, 40).split()]
+    rows = [(0, "So it is. " + line(rng, 30))]
+    for d in range(1, 40):
+        parts = []
+        for _ in range(rng.randint(0, 8)):
+            parts += rng.choice([[line(rng) + "! "], [line(rng, 3) + "\n"], [long], pair, mixed, mixed[: rng.randint(1, 3)], tiny[rng.randint(0, 9) :], ["So it is. "], ["  " + long]])
+        rows.append((d, "".join(parts) + rng.choice(["", line(rng, 2)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(r["doc_id"], r["text"]) for r in dedup_lines(df, window=None).collect()}
+    assert got == plain_brute(rows)
+    assert got != {(r["doc_id"], r["text"]) for r in dedup_lines(df).collect()}

@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes: DataFrame functions only."""
+"""Line dedup by hashes of lines and of least windows of them, or by winnowing: DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -131,6 +131,92 @@ def repeated_runs(docs: DataFrame, window: int = 3, min_chars: int = 120) -> Dat
     return found.where(F.size("runs") > 0)
 
 
+def _reach(n: str, at: Column, step: int, min_chars: int) -> Column:
+    """Number of lines from line ``at`` on (backwards where ``step`` is -1) that first make up ``min_chars``; null where they end before."""
+    found, total = F.when(F.lit(False), F.lit(0)), F.lit(0)
+    for k in range(6):
+        total = total + F.get(n, at + step * k)
+        found = found.when(total >= min_chars, F.lit(k + 1))
+    rest = F.slice(n, at + 1, F.lit(min_chars)) if step > 0 else F.reverse(F.slice(n, F.greatest(at + 2 - min_chars, F.lit(1)), F.least(at + 1, F.lit(min_chars))))
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("lines"))
+
+    def more(s, x):
+        return F.when(s["total"] >= min_chars, s).otherwise(F.struct((s["total"] + x).alias("total"), (s["lines"] + 1).alias("lines")))
+
+    long = F.aggregate(rest, start, more, lambda s: F.when(s["total"] >= min_chars, s["lines"]))
+    return found.when(total.isNotNull(), long)  # a null total: the lines end within six
+
+
+def least_windows(own: str, content: str, min_chars: int) -> Column:
+    """Runs of lines that hold ``min_chars`` and no line too many at one of their ends, as first * (min_chars + 1) + lines.
+
+    A line counts as in ``own`` (its characters) and again as in ``content`` (what equal lines have in common).
+    """
+    at = F.sequence(F.lit(0), F.size(own) - 1)
+    code = F.lit(min_chars + 1).cast("long")
+
+    def of(n, step):
+        def one(i):
+            lines = _reach(n, i, step, min_chars)
+            return (i if step > 0 else i + 1 - lines) * code + lines
+
+        return F.filter(F.transform(at, one), lambda x: x.isNotNull())
+
+    plain = F.concat(of(content, 1), of(content, -1))
+    blanks = F.exists(F.zip_with(own, content, lambda x, y: x > y), lambda x: x)
+    return F.array_distinct(F.when(blanks, F.concat(plain, of(own, 1), of(own, -1))).otherwise(plain))
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = 120) -> DataFrame:
+    """(doc_id, runs array<struct<first, last>>): lines, from 0, in any run of ``min_chars`` or more that was seen earlier.
+
+    Earlier is in a document of lower doc_id, or further up in the same one. Every line of such a run lies in a window of
+    ``least_windows`` within the run, so it is enough to know for each window (by the hash of its lines' hashes) its first
+    place; all other places are repeats. Nothing depends on which lines stand around, or on what a third document holds.
+
+    Equal lines may differ in the blanks at their ends. A run counts with its lines' text and a character for each line's
+    end, or with all its characters where it stands in the earlier place with lines as long.
+    """
+    some = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
+    base = some.select(F.col("doc_id").cast("long").alias("doc_id"), lines_of(F.col("text")).alias("lines"))
+    content = F.transform("lines", lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) + 1)
+    shape = base.select("doc_id", hashes_of(F.col("lines")).alias("h"), F.transform("lines", F.length).alias("n"), content.alias("m"))
+    factor = F.lit(min_chars + 1).cast("long")
+
+    def keyed(code):
+        first, lines = F.floor(code / factor).cast("int"), (code % factor).cast("int")
+        return F.struct(F.xxhash64(F.slice("h", first + 1, lines)).alias("key"), code.alias("code"))
+
+    # keys before the rows: an exploded row with its document's hashes would copy them
+    coded = shape.select("doc_id", F.explode(F.transform(least_windows("n", "m", min_chars), keyed)).alias("w"))
+    windows = materialize(coded.select("w.key", "doc_id", "w.code"), "windows")
+    firsts = windows.groupBy("key").agg(F.min(F.struct("doc_id", "code")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first")
+    firsts = materialize(firsts, "firsts")  # a join apart from the groups can be split where a key is frequent
+    again = windows.join(firsts, "key").where(F.struct("doc_id", "code") > F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+    def merge(done, code):
+        a, b = F.floor(code / factor).cast("int"), (F.floor(code / factor) + code % factor - 1).cast("int")
+        run = F.struct(a.alias("first"), b.alias("last"))
+        open_ = F.struct(done["open"]["first"].alias("first"), F.greatest(done["open"]["last"], b).alias("last"))
+        joins = a <= done["open"]["last"] + 1
+        return F.struct(F.when(joins, done["runs"]).otherwise(F.concat(done["runs"], F.array(done["open"]))).alias("runs"), F.when(joins, open_).otherwise(run).alias("open"))
+
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("runs"), F.struct(F.lit(-2).alias("first"), F.lit(-2).alias("last")).alias("open"))
+    runs = F.aggregate("codes", start, merge, lambda done: F.slice(F.concat(done["runs"], F.array(done["open"])), 2, F.size(done["runs"])))
+    return again.select("doc_id", runs.alias("runs"))
+
+
+def without_lines(text: Column, runs: Column) -> Column:
+    """``text`` less the lines of ``runs``, which are sorted and apart."""
+
+    def step(done, run):
+        gap = F.array_join(F.slice(done["lines"], done["upto"] + 1, F.greatest(run["first"] - done["upto"], F.lit(0))), "")
+        return F.struct((run["last"] + 1).alias("upto"), F.concat(done["kept"], gap).alias("kept"), done["lines"].alias("lines"))
+
+    start = F.struct(F.lit(0).alias("upto"), F.lit("").alias("kept"), lines_of(text).alias("lines"))
+    return F.aggregate(runs, start, step, lambda done: F.concat(done["kept"], F.array_join(F.slice(done["lines"], done["upto"] + 1, F.size(done["lines"])), "")))
+
+
 def without_runs(text: Column, runs: Column) -> Column:
     """``text`` less ``runs``, which are sorted and may overlap."""
 
@@ -143,17 +229,20 @@ def without_runs(text: Column, runs: Column) -> Column:
     return F.aggregate(runs, start, step, lambda done: F.concat(done["kept"], F.substring(text, done["upto"] + 1, F.length(text))))
 
 
-def dedup_lines(docs: DataFrame, window: int = 3, min_chars: int = 120) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int | None = 3, min_chars: int = 120) -> DataFrame:
     """``docs`` with ``text`` less its repeated runs, and the count ``removed_chars`` under that name.
 
+    With a ``window`` the runs are those that winnowing finds (``repeated_runs``), with None all of them (``repeated_lines``).
+
     The first place of a run stays, in the document with the least doc_id. Rows that share a doc_id count as one
     document's; rows without a doc_id stay as they are; null texts stay null; a document all of repeats becomes empty.
     A column of ``docs`` named removed_chars is replaced. No rows, no rows.
     """
-    runs = repeated_runs(docs, window, min_chars).select(F.col("doc_id").alias("__doc"), F.col("runs").alias("__runs"))
+    found = repeated_lines(docs, min_chars) if window is None else repeated_runs(docs, window, min_chars)
+    runs = found.select(F.col("doc_id").alias("__doc"), F.col("runs").alias("__runs"))
     joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("__doc"), "left")
     others = [c for c in docs.columns if c not in ("text", "removed_chars")]
-    cut = F.when(F.col("__runs").isNotNull() & F.col("text").isNotNull(), without_runs(F.col("text"), F.col("__runs")))
+    cut = F.when(F.col("__runs").isNotNull() & F.col("text").isNotNull(), (without_lines if window is None else without_runs)(F.col("text"), F.col("__runs")))
     done = joined.select(*others, "text", cut.alias("__cut"))
     removed = F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.length("text") - F.length("__cut"))
     return done.select(*others, F.coalesce("__cut", "text").alias("text"), removed.alias("removed_chars"))
@@ -161,10 +250,10 @@ def dedup_lines(docs: DataFrame, window: int = 3, min_chars: int = 120) -> DataF
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: what is left of its text."""
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "removed_chars", "text")
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), window=None).select("doc_id", "removed_chars", "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines go from the texts; ``n_chars`` follows."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, window=None)
     return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
