@@ -205,6 +205,19 @@ def test_scores_on_odd_texts(spark, odd, none):
         assert module.score(odd, module.train(none, labels.limit(0))).count() == len(ODD)
 
 
+def test_toxicity_keeps_the_labelled_share_under_a_cap(spark):
+    rng = random.Random(12)
+    rows = [(i, int(rng.random() < 0.1)) for i in range(3000)]
+    rows = [(i, ("bad" if rng.random() < (0.8 if y else 0.15) else "good") + f" w{i}", y) for i, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), examples=100)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for word in ("bad", "good"):
+        share = np.mean([y for _, t, y in rows if t.startswith(word)])
+        assert abs(np.mean([got[i] for i, t, _ in rows if t.startswith(word)]) - share) < 0.12
+    assert abs(np.mean(list(got.values())) - np.mean([y for *_, y in rows])) < 0.05
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_bradley_terry_quality", "quality", 0.95), ("op4_toxicity_nearest", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"

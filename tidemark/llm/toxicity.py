@@ -122,14 +122,16 @@ class Model:
     base: float
     unknown: float
     shrink: float = 6.0
+    rates: tuple[float, float] = (1.0, 1.0)  # labelled rows that one example of label 0, of label 1, stands for
 
     def vote(self, counts: dict[str, int], without: int | None = None):
         """Weighted share of toxic among the nearest (the weight grows as the distance falls), drawn towards
-        the base rate as by ``shrink`` far examples, and the evidence."""
+        the base rate as by ``shrink`` far examples, and the evidence. An example weighs as many labelled rows as it stands for, so that a bound on either label's examples
+        leaves the labelled share as it is."""
         found, cosines = self.index.nearest(counts, self.k, without)
         if not len(found):
             return None, found, cosines
-        weights = 1 / (1.1 - np.minimum(cosines, 1.0))
+        weights = np.where(self.index.labels[found] > 0, self.rates[1], self.rates[0]) / (1.1 - np.minimum(cosines, 1.0))
         return float((weights @ self.index.labels[found] + self.shrink * self.base) / (weights.sum() + self.shrink)), found, cosines
 
     def calibrated(self, vote: float | None) -> float:
@@ -144,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, k: int = 31, terms: int = 4096, ex
 
     The vocabulary is the ``terms`` terms that part the labels most (chi-square over ``least``, counted over all labelled
     rows); their idf counts all documents. Examples are at most ``examples`` labelled rows of either label that have a
-    term, those least by a hash of doc_id. Equal texts are one row here. Rows with a null label are left out.
+    term, those least by a hash of doc_id; votes and calibration weigh them by the inverse of their label's share kept. Equal texts are one row here. Rows with a null label are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -195,21 +197,27 @@ def train(docs: DataFrame, labels: DataFrame, k: int = 31, terms: int = 4096, ex
     without = {r["toxic"]: r["n"] for r in held.where("n = 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     unknown = (without.get(1, 0) + base) / (sum(without.values()) + 1)
     index = BlockMaxIndex(idf, [(r["doc_id"], dict(zip(r["terms"], r["counts"], strict=True)), r["toxic"]) for r in rows])
-    model = Model(index, k, (8.0, 0.0), base, unknown)
-    return Model(index, k, _calibrate(model, rows[:: max(1, len(rows) // 2000)]), base, unknown)
+    picked = Counter(r["toxic"] for r in rows)
+    known = {r["toxic"]: r["n"] for r in held.where("n > 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = [known.get(y, 0) / max(1, picked[y]) for y in (0, 1)]
+    mean = sum(known.values()) / max(1, len(rows))
+    rates = tuple(x / mean for x in each) if mean else (1.0, 1.0)
+    model = Model(index, k, (8.0, 0.0), base, unknown, rates=rates)
+    return Model(index, k, _calibrate(model, rows[:: max(1, len(rows) // 2000)]), base, unknown, rates=rates)
 
 
 def _calibrate(model: Model, rows) -> tuple[float, float]:
-    """Slope and offset of the log odds in the vote, by logistic loss on votes of the examples without themselves."""
+    """Slope and offset of the log odds in the vote, by weighted logistic loss on votes of the examples without themselves."""
     votes = [(model.vote(dict(zip(r["terms"], r["counts"], strict=True)), r["doc_id"])[0], r["toxic"]) for r in rows]
     votes = [v for v in votes if v[0] is not None]
+    weight = np.array([model.rates[y > 0] for _, y in votes])
     if len({y for _, y in votes}) < 2:
         return 8.0, 0.0
     x, y = np.array([[2 * v - 1, 1.0] for v, _ in votes]), np.array([y for _, y in votes], float)
     w, prior = np.array([4.0, 0.0]), np.array([4.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), x.T @ (y - p) - 0.05 * (w - prior))
+        w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), x.T @ (weight * (y - p)) - 0.05 * (w - prior))
     return (float(w[0]), float(w[1])) if w[0] > 0 else (8.0, 0.0)
 
 
