@@ -83,6 +83,13 @@ def test_bpe_is_tiktoken(odd, none):
     assert bpe.round_trip(none, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_bpe_of_a_word_over_a_mebibyte(tmp_path):
+    ranks = [bytes([i]) for i in range(256)] + [b"ab", b"abab"]
+    (tmp_path / "ranks").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(ranks)))
+    n = 2**20 + 5
+    assert bpe.Bpe(str(tmp_path / "ranks"), r"\S+").encode(["ab" + "x" * n + "ababab"]) == [[256] + [120] * n + [257, 256]]
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 

@@ -41,12 +41,13 @@ class Bpe:
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words of up to the same power of two of bytes.
 
-        Leaf i of a word's tree holds rank << 20 | i of the pair that begins at byte i, an inner node the least of its two
-        children; so the root is the leftmost pair of least rank. A merge changes the pair's leaf, the leaf of its live
+        Leaf i of a word's tree holds rank << bits | i of the pair that begins at byte i, an inner node the least of its two
+        children (bits: as many as the places need); so the root is the leftmost pair of least rank. A merge changes the pair's leaf, the leaf of its live
         left neighbour and the leaf of the token it takes in, each with the path above.
         """
         n, most = len(words), max(map(len, words))
-        size = 1 << max(1, (most - 1).bit_length())
+        bits = max(1, (most - 1).bit_length())
+        size = 1 << bits
         lengths, place = np.fromiter(map(len, words), np.int64, n)[:, None], np.arange(size)
         token = np.full((n, size + 1), -1, np.int64)
         token[:, :size][place < lengths] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
@@ -54,7 +55,7 @@ class Bpe:
         before = np.tile(place - 1, (n, 1))
         rank = self.pair_rank(token[:, :-1], token[:, 1:])
         tree = np.full((n, 2 * size), NONE, np.int64)
-        tree[:, size:] = np.where(rank < NONE, rank << 20 | place, NONE)
+        tree[:, size:] = np.where(rank < NONE, rank << bits | place, NONE)
         for level in range(size.bit_length() - 2, -1, -1):
             a = 1 << level
             tree[:, a : 2 * a] = np.minimum(tree[:, 2 * a : 4 * a : 2], tree[:, 2 * a + 1 : 4 * a : 2])
@@ -69,7 +70,7 @@ class Bpe:
 
         while len(live):
             top = tree[live, 1]
-            at, merged = top & 0xFFFFF, top >> 20
+            at, merged = top & (size - 1), top >> bits
             right = following[live, at]
             after = following[live, right]
             token[live, at] = merged
@@ -79,13 +80,13 @@ class Bpe:
             before[live[end], after[end]] = at[end]
             put(live, right, NONE)
             rank = self.pair_rank(merged, token[live, after])
-            put(live, at, np.where(rank < NONE, rank << 20 | at, NONE))
+            put(live, at, np.where(rank < NONE, rank << bits | at, NONE))
             left = before[live, at]
             some = left >= 0
             if some.any():
                 rows, left = live[some], left[some]
                 rank = self.pair_rank(token[rows, left], merged[some])
-                put(rows, left, np.where(rank < NONE, rank << 20 | left, NONE))
+                put(rows, left, np.where(rank < NONE, rank << bits | left, NONE))
             live = live[tree[live, 1] < NONE]
         ids, ends = token[token >= 0].tolist(), np.cumsum((token >= 0).sum(axis=1)).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
