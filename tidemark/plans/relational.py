@@ -122,6 +122,22 @@ def digest(spark, sf):
     return o.select("o_orderstatus", F.sha2(F.array_join(F.col("k").cast("array<string>"), ","), 256).alias("digest"))
 
 
+ORDER_ROW = "concat_ws(',', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), CAST(CAST(round(o_totalprice*100) AS BIGINT) AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)"
+
+
+@query("digest_whole", f"SELECT o_orderstatus, sha256(string_agg(digest, ',' ORDER BY part)) AS digest FROM (SELECT o_orderstatus, o_orderkey // 16384 AS part, sha256(string_agg({ORDER_ROW}, ';' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1, 2) GROUP BY 1")
+def digest_whole(spark, sf):
+    """Digest of all of a group's canonical rows, in two levels: of each range of 16,384 keys, then of the ranges' digests."""
+    row = F.concat_ws(",", "o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "o_orderpriority")
+    o = table(spark, sf, "orders").select("o_orderstatus", F.expr("o_orderkey div 16384").alias("part"), F.struct(F.col("o_orderkey").alias("key"), row.alias("text")).alias("row"))
+
+    def digest_of(rows, field, mark):
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r[field]), mark), 256)
+
+    parts = o.groupBy("o_orderstatus", "part").agg(digest_of("row", "text", ";").alias("digest"))
+    return parts.groupBy("o_orderstatus").agg(digest_of(F.struct("part", "digest"), "digest", ",").alias("digest"))
+
+
 @query("top20", "SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def top20(spark, sf):
     from pyspark.sql import Window
