@@ -95,6 +95,25 @@ def circular_shift_p(spark, sf):
     return circular_shift_test(f, "a", "b", ["yr"], step=7).select("yr", F.round("ic", 9).alias("ic"), "shifts", "p")
 
 
+@query("circular_shift_rank_p", with_base(""", f AS (SELECT year(d) AS yr, s, x AS a, lead(x) OVER (PARTITION BY year(d) ORDER BY s) - x AS b FROM lvl),
+i AS (SELECT yr, 2 * rank() OVER (PARTITION BY yr ORDER BY a) + count(*) OVER (PARTITION BY yr, a) - 1 AS a, 2 * rank() OVER (PARTITION BY yr ORDER BY b) + count(*) OVER (PARTITION BY yr, b) - 1 AS b, row_number() OVER (PARTITION BY yr ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY yr) AS n FROM f WHERE a IS NOT NULL AND b IS NOT NULL),
+k AS (SELECT i.*, unnest(range(0, n)) AS shift FROM i),
+m AS (SELECT k.yr, k.shift, count(*) AS n, sum(k.a)::DOUBLE AS sa, sum(j.b)::DOUBLE AS sb, sum(k.a*k.a)::DOUBLE AS saa, sum(j.b*j.b)::DOUBLE AS sbb, sum(k.a*j.b)::DOUBLE AS sab FROM k JOIN i j ON j.yr = k.yr AND j.i = (k.i + k.shift) % k.n GROUP BY 1, 2),
+c AS (SELECT yr, shift, CASE WHEN n*saa - sa*sa > 0 AND n*sbb - sb*sb > 0 THEN (n*sab - sa*sb) / (sqrt(n*saa - sa*sa) * sqrt(n*sbb - sb*sb)) END AS ic FROM m),
+o AS (SELECT yr, ic AS own FROM c WHERE shift = 0)
+SELECT yr, round(any_value(own), 9) AS ic, count(*) AS shifts, CASE WHEN any_value(own) IS NOT NULL THEN count(*) FILTER (abs(ic) >= abs(own) - 1e-12) / count(*) END AS p FROM c JOIN o USING (yr) GROUP BY yr"""))
+def circular_shift_rank_p(spark, sf):
+    """The exact circular-permutation p: all shifts of average ranks (doubled, so that they are whole)."""
+    f = level(spark, sf).select(F.year("d").cast("long").alias("yr"), "s", F.col("x").alias("a"))
+    f = f.withColumn("b", F.lead("a").over(R.ordered(["yr"])) - F.col("a")).where("a is not null and b is not null")
+
+    def doubled(c):
+        return (2 * F.rank().over(Window.partitionBy("yr").orderBy(c)) + F.count(F.lit(1)).over(Window.partitionBy("yr", c)) - 1).cast("long")
+
+    out = circular_shift_test(f.select("yr", "s", doubled("a").alias("a"), doubled("b").alias("b")), "a", "b", ["yr"])
+    return out.select("yr", F.round("ic", 9).alias("ic"), (F.col("shifts") + 1).alias("shifts"), F.when(F.col("ic").isNotNull(), F.col("p")).alias("p"))
+
+
 @query("ridge_walk_forward", with_base(""", f AS (SELECT year(d) AS yr, x - lag(x) OVER (ORDER BY s) AS a, x - lag(x, 5) OVER (ORDER BY s) AS b, lead(x) OVER (ORDER BY s) - x AS y FROM lvl),
 m AS (SELECT yr, count(*) AS n, sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*y) AS ay, sum(b*y) AS by_, sum(y*y) AS yy FROM f WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL GROUP BY yr),
 t AS (SELECT p.yr, CAST(sum(q.n) AS BIGINT) AS n_train, sum(q.aa)::DOUBLE + 1e9::DOUBLE AS aa, sum(q.ab)::DOUBLE AS ab, sum(q.bb)::DOUBLE + 1e9::DOUBLE AS bb, sum(q.ay)::DOUBLE AS ay, sum(q.by_)::DOUBLE AS by_ FROM m p JOIN m q ON q.yr < p.yr GROUP BY p.yr),
