@@ -183,23 +183,77 @@ def test_loser_tree(k):
     assert list(warc.LoserTree(runs, key=lambda x: x)) == sorted(sum(runs, []))
 
 
-def test_block_max_is_exact():
+def cosines_of(query, vectors):
+    """Every cosine, term by term."""
+    return [sum(w * v.get(t, 0.0) for t, w in query.items()) for v in vectors]
+
+
+def unit(counts, weights):
+    v = {t: (1 + np.log(n)) * weights[t] for t, n in counts.items() if t in weights}
+    size = np.sqrt(sum(x * x for x in v.values()))
+    return {t: x / size for t, x in v.items()}
+
+
+def indexed(weights, examples, block):
+    terms = {t: i for i, t in enumerate(weights)}
+    known = [{t: n for t, n in c.items() if t in terms} for _, c, _ in examples]
+    own = np.array([terms[t] for c in known for t in c], int), np.array([n for c in known for n in c.values()], int)
+    return toxicity.BlockMaxIndex(terms, np.array(list(weights.values())), np.array([d for d, *_ in examples]), np.array([y for *_, y in examples]), own, np.array([len(c) for c in known]), block)
+
+
+@pytest.mark.parametrize("block", [1, 16, 1000])
+def test_block_max_is_exact(block):
     rng = random.Random(8)
-    idf = {f"t{i}": 1 + rng.random() * 5 for i in range(40)}
-    docs = [(i, {f"t{rng.randrange(45)}": rng.randint(1, 4) for _ in range(rng.randint(0, 6))}, i % 2) for i in range(300)]
-    index = toxicity.BlockMaxIndex(idf, docs, block=16)
-
-    def vector(c):
-        v = {t: (1 + np.log(n)) * idf[t] for t, n in c.items() if t in idf}
-        size = np.sqrt(sum(x * x for x in v.values()))
-        return {t: x / size for t, x in v.items()}
-
-    for doc, counts, _ in docs[:80]:
-        found, cosines = index.nearest(counts, 7)
-        q = vector(counts)
-        all_ = sorted(((round(sum(w * vector(c).get(t, 0) for t, w in q.items()), 12), -i) for i, c, _ in docs), reverse=True)
-        want = [(c, -i) for c, i in all_ if c > 0][:7]
+    idf = {f"t{i}": 1 + rng.random() * 5 for i in range(60)}
+    docs = [(i, {f"t{min(rng.randrange(65), rng.randrange(65))}": rng.randint(1, 4) for _ in range(rng.randint(0, 6))}, i % 2) for i in range(300)]
+    index = indexed(idf, docs, block)
+    assert 0 < len(index.rows) < len(idf)
+    vectors = [unit(c, idf) for _, c, _ in docs]
+    for (doc, counts, _), (found, cosines) in zip(docs[:150], index.nearest_of([c for _, c, _ in docs[:150]], 7, [d if d % 3 else None for d, *_ in docs[:150]]), strict=True):
+        every = sorted(((round(c, 12), -i) for i, c in enumerate(cosines_of(unit(counts, idf), vectors)) if i != doc or not doc % 3), reverse=True)
+        want = [(c, -i) for c, i in every if c > 0][:7]
         assert np.allclose(cosines, [c for c, _ in want]) and [int(index.docs[e]) for e in found] == [i for _, i in want]
+    assert len(indexed(idf, [], 4).nearest(docs[5][1], 7)[0]) == 0
+
+
+def test_toxicity_against_brute_force(spark):
+    """Vocabulary, weights, neighbours and votes on documents, from their definitions: all terms of all labelled rows count."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    seen = {}
+    for r in sorted(labels.where("toxic is not null").collect(), key=lambda r: r["doc_id"]):
+        if r["doc_id"] in texts:
+            first, y = seen.get(texts[r["doc_id"]], (r["doc_id"], 0))
+            seen[texts[r["doc_id"]]] = (first, max(y, r["toxic"]))
+    rows = [(d, toxicity.term_counts(t), y) for t, (d, y) in seen.items()]
+    n1 = sum(y for *_, y in rows)
+    base = (n1 + 0.5) / (len(rows) + 1)
+    counts = {d: toxicity.term_counts(t) for d, t in texts.items()}
+    weights = {}
+    for t in {t for _, c, _ in rows for t in c}:
+        a, b = sum(t in c for _, c, y in rows if not y), sum(t in c for _, c, y in rows if y)
+        odds = np.log((b + 5 / min(base, 1 - base) * base) / (a + 5 / min(base, 1 - base) * (1 - base))) - np.log(base / (1 - base))
+        weights[t] = (np.log((1 + len(texts)) / (1 + sum(t in c for c in counts.values()))) + 1) * (0.05 + odds**2)
+    vectors = [unit(c, weights) for _, c, _ in rows]
+    votes = {}
+    for d in list(texts)[::4]:
+        every = sorted(((round(c, 12), -r[0], r[2]) for r, c in zip(rows, cosines_of(unit(counts[d], weights), vectors), strict=True) if c > 0), reverse=True)[:31]
+        assert np.allclose([e["cosine"] for e in got[d]["evidence"]], [c for c, *_ in every], atol=1e-9)
+        assert sum(e["doc_id"] == -i for e, (_, i, _) in zip(got[d]["evidence"], every, strict=True)) >= len(every) - 2  # all but ties in the last digits
+        w = [1 / (1.1 - min(c, 1)) for c, *_ in every]
+        votes[d] = (sum(x * y for x, (*_, y) in zip(w, every)) + 6 * base) / (sum(w) + 6) if every else None
+    order = sorted((d for d in votes if votes[d] is not None), key=votes.get)
+    scores = [got[d]["score"] for d in order]
+    assert all(a <= b + 1e-9 for a, b in zip(scores, scores[1:])) and scores[0] < 0.3
+    assert sum(not r["evidence"] for r in got.values()) < 0.05 * len(got)
+
+
+def test_toxicity_stage_keeps_columns(spark, odd, none):
+    for docs in (odd, odd.limit(0)):
+        out = toxicity.stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.schema == docs.schema and out.count() <= docs.count()
 
 
 def test_scores_on_odd_texts(spark, odd, none):
