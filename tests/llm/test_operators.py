@@ -111,13 +111,49 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(none, P.path("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize("scale", [1, 50])
-def test_plan_uses_each_item_once(scale):
+def best_fit_bins(counts, capacity=1024):
+    """Best fit item by item, longest first: the rooms left."""
+    rooms = []
+    for length in range(capacity, 0, -1):
+        for _ in range(int(counts[length])):
+            fit = min((r for r in rooms if r >= length), default=None)
+            if fit is not None:
+                rooms.remove(fit)
+            rooms.append((fit if fit is not None else capacity) - length)
+    return rooms
+
+
+@pytest.mark.parametrize("scale", [0, 1, 50])
+@pytest.mark.parametrize("high", [1025, 400])
+def test_plan_uses_each_item_once(scale, high):
     rng = np.random.default_rng(3)
-    counts = np.bincount(rng.integers(1, 1025, 1500), minlength=1025) * scale
+    counts = np.bincount(rng.integers(1, high, 1500), minlength=1025) * scale
     made = packing.plan(counts)
-    assert (sum(p * t for p, t in made) == counts).all() and all((p * np.arange(1025)).sum() <= 1024 for p, _ in made)
-    assert len(made) < 4000
+    assert sum((p * t for p, t in made), np.zeros(1025, int)).tolist() == counts.tolist() and all(p @ np.arange(1025) <= 1024 for p, _ in made)
+    fitted = packing.best_fit(counts)
+    assert sum((p * t for p, t in fitted), np.zeros(1025, int)).tolist() == counts.tolist()
+    if scale < 2:
+        rooms = best_fit_bins(counts)
+        assert sorted(1024 - int(p @ np.arange(1025)) for p, t in fitted for _ in range(t)) == sorted(rooms)
+    bins = sum(t for _, t in made)
+    assert bins <= sum(t for _, t in fitted) and len(made) < 4000
+    priced = packing.fractional_patterns(counts, 1.0)  # the program covers every length, near the bound by volume
+    assert np.allclose(sum((p * x for p, x in priced), np.zeros(1025)), counts)
+    assert sum(x for _, x in priced) <= 1.03 * (counts @ np.arange(1025)) / 1024 + 1
+
+
+def test_plan_takes_patterns_of_the_program():
+    counts = np.bincount(np.random.default_rng(5).integers(1, 1025, 60_000), minlength=1025)
+    counts[-1] = 7
+    made, fitted = packing.plan(counts), packing.best_fit(counts)
+    assert sum(t for _, t in made) <= sum(t for _, t in fitted)
+    keys = {p.tobytes() for p, _ in packing.fractional_patterns(counts * (np.arange(1025) < 1024), 1.0)}
+    assert sum(t for p, t in made if p.tobytes() in keys) > 0.05 * sum(t for _, t in made)
+
+
+def test_packing_stage(spark, odd, none):
+    out = packing.stage(spark, odd, SF)
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(range(len(ODD))) and packing.stage(spark, none, SF).count() == 0
 
 
 def test_imatch(spark, odd, none):

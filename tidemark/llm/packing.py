@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from functools import lru_cache
 
@@ -84,66 +83,86 @@ def best_pattern(prices: np.ndarray, room: np.ndarray) -> np.ndarray:
     return counts
 
 
-def fractional_patterns(counts: np.ndarray, step: float, spread: float) -> list[tuple[np.ndarray, float]]:
+def fractional_patterns(counts: np.ndarray, spread: float) -> list[tuple[np.ndarray, float]]:
     """Patterns with fractional amounts that together cover ``counts``, by multiplicative weights.
 
-    A length's weight falls exponentially in the share of it that is covered already; each round prices a pattern by
-    the knapsack and takes as much of it as covers the share ``step`` of its scarcest length, so there are at most
-    capacity / step rounds, whatever the counts.
+    A length's weight falls exponentially in the share of it that is covered already, and grows a little faster than the
+    length, as long items are the harder to place. Each round prices a pattern by the knapsack and takes as much of it as
+    its scarcest length allows, so there are at most as many rounds as lengths, whatever the counts.
     """
     lengths = np.arange(len(counts))
     wanted, covered, found = np.maximum(counts, 1e-9).astype(float), np.zeros(len(counts)), {}
     while (left := counts > covered + 1e-6)[1:].any():
-        prices = lengths * (1 + spread * np.exp(-3 * covered / wanted)) + 1e-6 * lengths**2
+        prices = (lengths / len(lengths)) ** 1.1 * (1 + spread * np.exp(-3 * covered / wanted))
         pattern = best_pattern(prices, left)
         has = pattern > 0
-        amount = min(((counts - covered)[has] / pattern[has]).min(), step * (wanted[has] / pattern[has]).min())
+        amount = ((counts - covered)[has] / pattern[has]).min()
         covered = covered + amount * pattern
         key = pattern.tobytes()
         found[key] = (pattern, found.get(key, (0, 0.0))[1] + amount)
     return list(found.values())
 
 
-def _best_fit(counts: np.ndarray) -> list[np.ndarray]:
-    """Patterns, one a bin, that hold exactly ``counts``: best fit, longest first."""
-    capacity, open_, bins = len(counts) - 1, [], []
+def best_fit(counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(pattern, times) that hold exactly ``counts``: best fit, longest first.
+
+    Bins that are alike are one entry with a number of times, and the items of a length go into all of them at once, so
+    the work depends on the capacity and not on the counts.
+    """
+    capacity = len(counts) - 1
+    rooms: list[list] = [[] for _ in range(capacity + 1)]  # (pattern, times) by the room left
+
+    def put(pattern, times, length, n):
+        """``n`` of ``length`` into as few of the bins as they fill; what is left of the bins stays as it was."""
+        room = capacity - int(pattern @ np.arange(capacity + 1))
+        each = room // length
+        full = min(times, n // each)
+        some = n - full * each if full < times else 0
+        for k, many in ((each, full), (some, min(some, 1))):
+            if many:
+                more = pattern.copy()
+                more[length] += k
+                rooms[room - k * length].append((more, many))
+        if times - full - min(some, 1):
+            rooms[room].append((pattern, times - full - min(some, 1)))
+        return n - full * each - some
+
     for length in range(capacity, 0, -1):
-        for _ in range(int(counts[length])):
-            at = bisect.bisect_left(open_, (length, -1))
-            if at == len(open_):
-                room, b = capacity, len(bins)
-                bins.append(np.zeros(capacity + 1, np.int64))
-            else:
-                room, b = open_.pop(at)
-            bins[b][length] += 1
-            if room > length:
-                bisect.insort(open_, (room - length, b))
-    return bins
-
-
-def plan(counts: np.ndarray, step: float = 0.4, spread: float = 10.0, passes: int = 3) -> list[tuple[np.ndarray, int]]:
+        left = int(counts[length])
+        for room in range(length, capacity):
+            if not left:
+                break
+            held, rooms[room] = rooms[room], []
+            for pattern, times in held:
+                if left:
+                    left = put(pattern, times, length, left)
+                else:
+                    rooms[room].append((pattern, times))
+        if left:
+            put(np.zeros(capacity + 1, np.int64), -(-left // (capacity // length)), length, left)
+    return [bin_ for held in rooms for bin_ in held]
+
+
+def plan(counts: np.ndarray, spread: float = 1.0, shares: tuple = (1.0, 0.8, 0.6, 0.4, 0.2, 0.1, 0.05, 0.0)) -> list[tuple[np.ndarray, int]]:
     """(pattern, times) that use every item of the histogram ``counts`` (by length, index 0 unused) exactly once.
 
-    The fractional amounts are rounded down; what that leaves, less than one bin a pattern, is solved anew and at last
-    best-fitted.
+    The program's fractional amounts, or the ``shares`` of them, are rounded down and what that leaves is best-fitted; of
+    these roundings the one with the fewest bins is taken. The share 0 is best fit alone, so the plan is never worse.
     """
     counts, out = counts.copy(), []
-    full = np.zeros(len(counts), np.int64)
-    full[-1] = 1
     if counts[-1]:
+        full = np.zeros(len(counts), np.int64)
+        full[-1] = 1
         out.append((full, int(counts[-1])))
         counts[-1] = 0
-    for _ in range(passes):
-        before = counts.sum()
-        if before < 4 * (counts > 0).sum():  # hardly two of a length: every amount would round to nothing
-            break
-        for pattern, amount in sorted(fractional_patterns(counts, step, spread), key=lambda x: -x[1]):
-            if times := int(amount + 1e-9):
-                counts -= times * pattern
-                out.append((pattern, times))
-        if counts.sum() > 0.9 * before:
-            break
-    return out + [(b, 1) for b in _best_fit(counts)]
+    priced = fractional_patterns(counts, spread)
+    best: list | None = None
+    for share in shares:
+        made = [(pattern, times) for pattern, amount in priced if (times := int(share * amount + 1e-9))]
+        made += best_fit(counts - sum((p * t for p, t in made), np.zeros_like(counts)))
+        if best is None or sum(t for _, t in made) < sum(t for _, t in best):
+            best = made
+    return out + best
 
 
 def slots(planned: list[tuple[np.ndarray, int]]) -> dict[str, list[int]]:
@@ -178,7 +197,7 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """``cut`` (doc_id, piece, length, ...) with sequence_id and offset, in as few sequences of ``capacity`` as it can.
 
     The driver sees the length histogram alone, of at most ``capacity`` entries, and the plan made from it, which is
-    bounded by the rounds and the capacity, not by the rows. Repeated rows are packed each. No rows, no rows.
+    bounded by the capacity, not by the rows. Repeated rows are packed each. No rows, no rows.
     """
     spark = cut.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
