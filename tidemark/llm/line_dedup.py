@@ -1,4 +1,4 @@
-"""Line dedup by hashes of lines and of least windows of them, or by winnowing: DataFrame functions only."""
+"""Line dedup by winnowing over line hashes: DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -31,104 +31,87 @@ def hashes_of(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\n"))))
 
 
-def winnowed(hashes: Column, window: int) -> Column:
-    """Positions, from 0, of the rightmost least hash of every ``window`` lines in a row (of all lines, where there are fewer)."""
-    windows = F.sequence(F.lit(0), F.greatest(F.size(hashes) - window, F.lit(0)))
+def winnow(shape: DataFrame, min_chars: int) -> DataFrame:
+    """``shape`` (doc, version, h: line hashes, m: what each line counts) with arrays by line.
 
-    def place(i):
-        seen = [F.get(hashes, i + k) for k in range(window)]
-        least = F.least(*seen) if window > 1 else seen[0]
-        at = i
-        for k in range(window):
-            at = F.when(seen[k] == least, i + k).otherwise(at)
-        return at
-
-    return F.when(F.size(hashes) > 0, F.array_distinct(F.transform(windows, place))).otherwise(F.array().cast("array<int>"))
-
-
-def _same(p: Column, q: Column) -> Column:
-    """Whether line p of h is line q of g; false beyond either end."""
-    return F.coalesce(F.get("h", p) == F.get("g", q), F.lit(False))
-
-
-def _total(first: Column, count: Column) -> Column:
-    return F.aggregate(F.slice("n", first, count), F.lit(0), lambda x, y: x + y)
-
-
-def _runs(firsts: Column, lasts: Column, min_chars: int) -> Column:
-    """Runs of lines as (start, size) in characters, of ``min_chars`` at least."""
-    runs = F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), _total(a + 1, b - a + 1).alias("size")))
-    long = F.filter(runs, lambda r: r["size"] >= min_chars)
-    return F.transform(long, lambda r: F.struct(_total(F.lit(1), r["first"]).alias("start"), r["size"].alias("size")))
-
-
-def _diagonal_runs(shift: Column, min_chars: int) -> Column:
-    """Maximal equal runs of h and g along a diagonal."""
-    low = F.greatest(F.lit(0), shift)
-    high = F.least(F.size("h"), F.size("g") + shift) - 1
+    ``k`` is the least number of lines from a line on that make up ``min_chars``, ``b`` that of lines up to it (null where
+    the text ends before); ``least`` is the least hash of the k lines: the line that winnowing picks in that window.
+    """
+    lines = F.sequence(F.lit(0), F.size("m") - 1)
+    reached = shape.select("doc", "version", "h", F.transform(lines, lambda i: _reach("m", i, 1, min_chars)).alias("k"), F.transform(lines, lambda i: _reach("m", i, -1, min_chars)).alias("b"))
+    return reached.withColumn("least", F.transform("k", lambda k, i: F.when(k.isNotNull(), F.array_min(F.slice("h", i + 1, k)))))
 
-    def edge(step):
-        return F.filter(F.sequence(low, high), lambda p: _same(p, p - shift) & ~_same(p + step, p + step - shift))
 
-    return _runs(edge(-1), edge(1), min_chars)
+def _repeated_picks(shape: DataFrame) -> DataFrame:
+    """(doc, version, marks): the picks of each document that occur at another place too, in it or in another document."""
+    picks = shape.select("doc", "version", F.explode(F.array_distinct(F.filter("least", lambda x: x.isNotNull()))).alias("pick"))
+    often = picks.groupBy("pick").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pick")
+    often = materialize(often, "picks")  # a join apart from the groups can be split where a pick is frequent
+    ordered = F.array_sort("h")
+    twice = shape.select("doc", "version", F.col("least"), F.filter(ordered, lambda x, i: x == F.get(ordered, i + 1)).alias("twice")).where(F.size("twice") > 0)
+    within = twice.select("doc", "version", F.explode(F.array_intersect("twice", "least")).alias("pick"))
+    both = picks.join(often, "pick").select("doc", "version", "pick").union(within)
+    return both.groupBy("doc", "version").agg(F.collect_set("pick").alias("marks"))
 
 
-def _inner_runs(shape: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, runs): runs of lines within a document whose places before stand in a row too.
+def _windows(marked: DataFrame, min_chars: int, bits: int) -> DataFrame:
+    """(key, doc, version, code): windows of ``min_chars`` round the repeated picks, as first line << bits | lines.
 
-    A line's place before comes from the lines in order of hash, so that the work is that of a sort.
+    From a pick's windows on, lines are added one way or the other till ``min_chars`` are reached; ``key`` is the hash of
+    the window's line hashes. Where picks times lines are very many, all windows are taken, which costs rows and no result.
     """
-    some = shape.where(F.size(F.array_distinct("h")) < F.size("h"))
-    by_hash = some.select("doc_id", "n", F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))).alias("s"))
+    few = F.size("marks").cast("long") * F.size("h") <= 20_000_000
+    sides = marked.select("doc", "version", "h", "k", "b", F.transform("least", lambda x: x.isNotNull() & (~few | F.array_contains("marks", x))).alias("on"))
 
-    def linked(r, k):
-        last = F.get("s", k - 1)
-        return F.struct(r["i"].alias("i"), F.when(last["x"] == r["x"], r["i"] - last["i"]).alias("d"))
+    def code(first, lines):
+        return F.shiftleft(first.cast("long"), bits) + lines
 
-    back = by_hash.select("doc_id", "n", F.array_sort(F.transform("s", linked)).alias("t"))
-    back = back.select("doc_id", "n", F.transform("t", lambda r: r["d"]).alias("d"))
+    ahead = F.transform("k", lambda k, i: F.when(F.get("on", i), code(i, k)))
+    back = F.transform("b", lambda b, i: F.when(F.get("on", i + 1 - b), code(i + 1 - b, b)))
+    codes = sides.select("doc", "version", "h", F.array_distinct(F.concat(ahead, back)).alias("codes"))
 
-    def edge(step):
-        places = F.sequence(F.lit(0), F.size("d") - 1)
-        return F.filter(places, lambda p: F.get("d", p).isNotNull() & ~F.get("d", p).eqNullSafe(F.get("d", p + step)))
+    def keyed(c):
+        return F.struct(F.xxhash64(F.slice("h", F.shiftright(c, bits).cast("int") + 1, c.bitwiseAND((1 << bits) - 1).cast("int"))).alias("key"), c.alias("code"))
 
-    return back.select("doc_id", _runs(edge(-1), edge(1), min_chars).alias("runs"))
+    # keys before the rows: an exploded row with its document's hashes would copy them
+    rows = codes.select("doc", "version", F.explode(F.transform(F.filter("codes", lambda c: c.isNotNull()), keyed)).alias("w"))
+    return rows.select("w.key", "doc", "version", "w.code")
 
 
-def repeated_runs(docs: DataFrame, window: int = 3, min_chars: int = 120) -> DataFrame:
-    """(doc_id, runs array<struct<start, size>>): characters that repeat earlier lines, for the documents that have any.
+def repeated_lines(docs: DataFrame, min_chars: int = 120) -> DataFrame:
+    """(doc, version, runs array<struct<first, last>>): lines, from 0, in any run of ``min_chars`` or more that was seen earlier.
+
+    Earlier is in a document of lower doc_id (of rows that share one, in that of the lower text hash, ``version``), or
+    further up in the same text. A run counts its lines' text without blanks at the ends, and one for each line.
 
-    Two documents match where the same winnowed line occurs: each is joined to the line's first document (least doc_id),
-    never to all others, by the line's first place in either. Along the diagonal of a match the hashes are compared both
-    ways, and every maximal equal run of at least ``min_chars`` characters is a repeat of its later side. A repeat of at
-    least ``window`` lines has a winnowed line, hence is found. Within a document each line is held against its place
-    before (``_inner_runs``).
+    Winnowing picks the line of the least hash in each window of ``min_chars`` from a line on, so two places that share a
+    run of ``min_chars`` share a pick. A pick alone doesn't say which earlier place shares the run, as a common line may
+    stand first in a third document; so the windows round repeated picks, extended both ways to ``min_chars``, are
+    joined by the hash of their lines: each of them is a repeat at every place but its first. Each line of a repeated run
+    lies in such a window within the run, hence no repeat is lost and nothing else goes.
     """
     some = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
-    base = some.select(F.col("doc_id").cast("long").alias("doc_id"), lines_of(F.col("text")).alias("lines"))
-    shape = materialize(base.select("doc_id", hashes_of(F.col("lines")).alias("h"), F.transform("lines", F.length).alias("n")), "lines")
-    picks = shape.select("doc_id", F.explode(F.array_distinct(F.transform(winnowed(F.col("h"), window), lambda p: F.get("h", p)))).alias("hash"))
-    firsts = picks.groupBy("hash").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "source")
-    met = picks.join(firsts, "hash").where("source < doc_id").groupBy("doc_id", "source").agg(F.collect_list("hash").alias("met"))
-
-    def shifts_of(places):
-        def may_reach(x):  # a line alone that is too short can't grow
-            p, q = x["p"], x["q"]
-            return (q >= 0) & ((F.get("n", p) >= min_chars) | _same(p - 1, q - 1) | _same(p + 1, q + 1))
+    base = some.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), lines_of(F.col("text")).alias("lines"))
+    lengths = F.transform("lines", lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) + 1)
+    shape = materialize(winnow(base.select("doc", "version", hashes_of(F.col("lines")).alias("h"), lengths.alias("m")), min_chars), "lines")
+    bits = int(min_chars).bit_length()
+    windows = materialize(_windows(shape.join(_repeated_picks(shape), ["doc", "version"]), min_chars, bits), "windows")
+    firsts = windows.groupBy("key").agg(F.min(F.struct("doc", "version", "code")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first")
+    firsts = materialize(firsts, "firsts")
+    later = windows.join(firsts, "key").where(F.struct("doc", "version", "code") > F.col("first"))
+    again = later.groupBy("doc", "version").agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
-        return F.array_distinct(F.transform(F.filter(places, may_reach), lambda x: x["p"] - x["q"]))
-
-    def place(array, x):
-        return F.array_position(array, x).cast("int") - 1
+    def merge(done, code):
+        a = F.shiftright(code, bits).cast("int")
+        b = a + code.bitwiseAND((1 << bits) - 1).cast("int") - 1
+        run = F.struct(a.alias("first"), b.alias("last"))
+        open_ = F.struct(done["open"]["first"].alias("first"), F.greatest(done["open"]["last"], b).alias("last"))
+        joins = a <= done["open"]["last"] + 1
+        return F.struct(F.when(joins, done["runs"]).otherwise(F.concat(done["runs"], F.array(done["open"]))).alias("runs"), F.when(joins, open_).otherwise(run).alias("open"))
 
-    other = shape.select(F.col("doc_id").alias("source"), F.col("h").alias("g"))
-    across = met.join(other, "source").join(shape, "doc_id")
-    shifts = shifts_of(F.transform("met", lambda x: F.struct(place("h", x).alias("p"), place("g", x).alias("q"))))
-    across = across.select("doc_id", "h", "g", "n", shifts.alias("shifts")).select("doc_id", F.flatten(F.transform("shifts", lambda s: _diagonal_runs(s, min_chars))).alias("runs"))
-    runs = across.union(_inner_runs(shape, min_chars))
-    # no filter before the groups: pushed down, it would compute the arrays again for every element
-    found = runs.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
-    return found.where(F.size("runs") > 0)
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("runs"), F.struct(F.lit(-2).alias("first"), F.lit(-2).alias("last")).alias("open"))
+    runs = F.aggregate("codes", start, merge, lambda done: F.slice(F.concat(done["runs"], F.array(done["open"])), 2, F.size(done["runs"])))
+    return again.select("doc", "version", runs.alias("runs"))
 
 
 def _reach(n: str, at: Column, step: int, min_chars: int) -> Column:
@@ -147,65 +130,6 @@ def _reach(n: str, at: Column, step: int, min_chars: int) -> Column:
     return found.when(total.isNotNull(), long)  # a null total: the lines end within six
 
 
-def least_windows(own: str, content: str, min_chars: int) -> Column:
-    """Runs of lines that hold ``min_chars`` and no line too many at one of their ends, as first * (min_chars + 1) + lines.
-
-    A line counts as in ``own`` (its characters) and again as in ``content`` (what equal lines have in common).
-    """
-    at = F.sequence(F.lit(0), F.size(own) - 1)
-    code = F.lit(min_chars + 1).cast("long")
-
-    def of(n, step):
-        def one(i):
-            lines = _reach(n, i, step, min_chars)
-            return (i if step > 0 else i + 1 - lines) * code + lines
-
-        return F.filter(F.transform(at, one), lambda x: x.isNotNull())
-
-    plain = F.concat(of(content, 1), of(content, -1))
-    blanks = F.exists(F.zip_with(own, content, lambda x, y: x > y), lambda x: x)
-    return F.array_distinct(F.when(blanks, F.concat(plain, of(own, 1), of(own, -1))).otherwise(plain))
-
-
-def repeated_lines(docs: DataFrame, min_chars: int = 120) -> DataFrame:
-    """(doc_id, runs array<struct<first, last>>): lines, from 0, in any run of ``min_chars`` or more that was seen earlier.
-
-    Earlier is in a document of lower doc_id, or further up in the same one. Every line of such a run lies in a window of
-    ``least_windows`` within the run, so it is enough to know for each window (by the hash of its lines' hashes) its first
-    place; all other places are repeats. Nothing depends on which lines stand around, or on what a third document holds.
-
-    Equal lines may differ in the blanks at their ends. A run counts with its lines' text and a character for each line's
-    end, or with all its characters where it stands in the earlier place with lines as long.
-    """
-    some = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
-    base = some.select(F.col("doc_id").cast("long").alias("doc_id"), lines_of(F.col("text")).alias("lines"))
-    content = F.transform("lines", lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) + 1)
-    shape = base.select("doc_id", hashes_of(F.col("lines")).alias("h"), F.transform("lines", F.length).alias("n"), content.alias("m"))
-    factor = F.lit(min_chars + 1).cast("long")
-
-    def keyed(code):
-        first, lines = F.floor(code / factor).cast("int"), (code % factor).cast("int")
-        return F.struct(F.xxhash64(F.slice("h", first + 1, lines)).alias("key"), code.alias("code"))
-
-    # keys before the rows: an exploded row with its document's hashes would copy them
-    coded = shape.select("doc_id", F.explode(F.transform(least_windows("n", "m", min_chars), keyed)).alias("w"))
-    windows = materialize(coded.select("w.key", "doc_id", "w.code"), "windows")
-    firsts = windows.groupBy("key").agg(F.min(F.struct("doc_id", "code")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first")
-    firsts = materialize(firsts, "firsts")  # a join apart from the groups can be split where a key is frequent
-    again = windows.join(firsts, "key").where(F.struct("doc_id", "code") > F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-
-    def merge(done, code):
-        a, b = F.floor(code / factor).cast("int"), (F.floor(code / factor) + code % factor - 1).cast("int")
-        run = F.struct(a.alias("first"), b.alias("last"))
-        open_ = F.struct(done["open"]["first"].alias("first"), F.greatest(done["open"]["last"], b).alias("last"))
-        joins = a <= done["open"]["last"] + 1
-        return F.struct(F.when(joins, done["runs"]).otherwise(F.concat(done["runs"], F.array(done["open"]))).alias("runs"), F.when(joins, open_).otherwise(run).alias("open"))
-
-    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("runs"), F.struct(F.lit(-2).alias("first"), F.lit(-2).alias("last")).alias("open"))
-    runs = F.aggregate("codes", start, merge, lambda done: F.slice(F.concat(done["runs"], F.array(done["open"])), 2, F.size(done["runs"])))
-    return again.select("doc_id", runs.alias("runs"))
-
-
 def without_lines(text: Column, runs: Column) -> Column:
     """``text`` less the lines of ``runs``, which are sorted and apart."""
 
@@ -217,32 +141,18 @@ def without_lines(text: Column, runs: Column) -> Column:
     return F.aggregate(runs, start, step, lambda done: F.concat(done["kept"], F.array_join(F.slice(done["lines"], done["upto"] + 1, F.size(done["lines"])), "")))
 
 
-def without_runs(text: Column, runs: Column) -> Column:
-    """``text`` less ``runs``, which are sorted and may overlap."""
-
-    def step(done, run):
-        upto = F.greatest(done["upto"], run["start"] + run["size"])
-        gap = F.when(run["start"] > done["upto"], F.substring(text, done["upto"] + 1, run["start"] - done["upto"])).otherwise(F.lit(""))
-        return F.struct(upto.alias("upto"), F.concat(done["kept"], gap).alias("kept"))
-
-    start = F.struct(F.lit(0).alias("upto"), F.lit("").alias("kept"))
-    return F.aggregate(runs, start, step, lambda done: F.concat(done["kept"], F.substring(text, done["upto"] + 1, F.length(text))))
-
-
-def dedup_lines(docs: DataFrame, window: int | None = 3, min_chars: int = 120) -> DataFrame:
-    """``docs`` with ``text`` less its repeated runs, and the count ``removed_chars`` under that name.
-
-    With a ``window`` the runs are those that winnowing finds (``repeated_runs``), with None all of them (``repeated_lines``).
+def dedup_lines(docs: DataFrame, min_chars: int = 120) -> DataFrame:
+    """``docs`` with ``text`` less its repeated runs (``repeated_lines``), and the count ``removed_chars`` under that name.
 
-    The first place of a run stays, in the document with the least doc_id. Rows that share a doc_id count as one
-    document's; rows without a doc_id stay as they are; null texts stay null; a document all of repeats becomes empty.
-    A column of ``docs`` named removed_chars is replaced. No rows, no rows.
+    The first place of a run stays, in the document with the least doc_id. Rows that share a doc_id are texts of their
+    own; rows equal in doc_id and text are one document and come back alike. Rows without a doc_id stay as they are; null
+    texts stay null; a document all of repeats becomes empty. A column of ``docs`` named removed_chars is replaced. No
+    rows, no rows.
     """
-    found = repeated_lines(docs, min_chars) if window is None else repeated_runs(docs, window, min_chars)
-    runs = found.select(F.col("doc_id").alias("__doc"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    found = repeated_lines(docs, min_chars).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("runs").alias("__runs"))
+    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
     others = [c for c in docs.columns if c not in ("text", "removed_chars")]
-    cut = F.when(F.col("__runs").isNotNull() & F.col("text").isNotNull(), (without_lines if window is None else without_runs)(F.col("text"), F.col("__runs")))
+    cut = F.when(F.col("__runs").isNotNull() & F.col("text").isNotNull(), without_lines(F.col("text"), F.col("__runs")))
     done = joined.select(*others, "text", cut.alias("__cut"))
     removed = F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.length("text") - F.length("__cut"))
     return done.select(*others, F.coalesce("__cut", "text").alias("text"), removed.alias("removed_chars"))
@@ -250,10 +160,10 @@ def dedup_lines(docs: DataFrame, window: int | None = 3, min_chars: int = 120) -
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: what is left of its text."""
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), window=None).select("doc_id", "removed_chars", "text")
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "removed_chars", "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go from the texts; ``n_chars`` follows."""
-    out = dedup_lines(docs, window=None)
+    """Repeated runs of lines go from the texts; ``n_chars`` follows. No rows, no rows; see ``dedup_lines``."""
+    out = dedup_lines(docs)
     return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
