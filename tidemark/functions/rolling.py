@@ -18,6 +18,38 @@ def ordered(keys: list[str], order: str = "s") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def full(w: WindowSpec, rows: int, value: Column) -> Column:
+    """``value`` where the frame holds all its ``rows`` session rows, with values or without; null at a series' start."""
+    return F.when(F.count(F.lit(1)).over(w) == rows, value)
+
+
+def least_share(rows: int, share: float = 0.7) -> int:
+    """The number of values that ``share`` of the rows asks for, halves to the even number."""
+    return max(1, round(rows * share))
+
+
+def positive_share(x: Column, w: WindowSpec, least: int) -> Column:
+    """100 times the share of values over 0."""
+    return F.when(F.count(x).over(w) >= least, 100 * F.count(F.when(x > 0, 1)).over(w) / F.count(x).over(w))
+
+
+def range_position(x: Column, w: WindowSpec, least: int) -> Column:
+    """Where x stands between the frame's minimum (0) and maximum (100); null without spread or under ``least`` values."""
+    low, high = F.min(x).over(w), F.max(x).over(w)
+    return F.when((F.count(x).over(w) >= least) & (high > low), F.lit(100.0) * (x - low) / (high - low))
+
+
+def cumulative_slope(x: Column, rows: int, keys: list[str], order: str = "s") -> Column:
+    """Least-squares slope over time of the running sum of the last ``rows`` values; null where one is missing.
+
+    A value enters every later point of the path, so the slope is one weighted sum of the values.
+    """
+    mid = (rows - 1) / 2
+    spread = sum((i - mid) ** 2 for i in range(rows))
+    w = ordered(keys, order)
+    return sum((F.lag(x, rows - 1 - j).over(w) * F.lit(sum(i - mid for i in range(j, rows))) for j in range(rows)), F.lit(0.0)) / spread
+
+
 def mean_over(x: Column, w: WindowSpec, least: int) -> Column:
     """Mean of the frame's values where at least ``least`` are there, else null."""
     return F.when(F.count(x).over(w) >= least, F.sum(x).over(w) / F.count(x).over(w))

@@ -18,7 +18,7 @@ def keep_last(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
 
 def remap(df: DataFrame, column: str, table: DataFrame, source: str, target: str) -> DataFrame:
     """``column`` through the small map ``table``; values without an entry pass."""
-    m = F.broadcast(table.select(F.col(source).alias("__from"), F.col(target).alias("__to")))
+    m = table.select(F.col(source).alias("__from"), F.col(target).alias("__to"))
     return df.join(m, df[column] == F.col("__from"), "left").withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
 
 

@@ -15,7 +15,7 @@ def calendar(dates: DataFrame, column: str = "d") -> DataFrame:
 def panel(values: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
     """Every key on every session: ``values`` (keys, d, x) where there is one, else null, which isn't 0."""
     names = values.select(*keys).distinct()
-    grid = F.broadcast(days).crossJoin(names)
+    grid = days.crossJoin(names)
     return grid.join(values, [*keys, "d"], "left").select(*keys, "d", "s", "x")
 
 
@@ -29,14 +29,18 @@ def asof_backward(left: DataFrame, changes: DataFrame, on: str, value: str, keys
 
 
 def interpolate(points: DataFrame, nodes: DataFrame, x: str, keys: list[str]) -> DataFrame:
-    """``points`` with ``y`` on the line between the two nodes (keys, node, value) round ``x``; null outside the nodes."""
-    w = Window.partitionBy(*keys).orderBy("node")
-    spans = nodes.select(*keys, F.col("node").alias("x0"), F.col("value").alias("y0"), F.lead("node").over(w).alias("x1"), F.lead("value").over(w).alias("y1")).where("x1 is not null")
-    inside = (F.col(x) >= F.col("x0")) & ((F.col(x) < F.col("x1")) | ((F.col(x) == F.col("x1")) & F.col("last")))
-    spans = spans.withColumn("last", F.col("x1") == F.max("x1").over(Window.partitionBy(*keys)))
-    hit = points.alias("p").join(F.broadcast(spans).alias("n"), [F.col(f"p.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys] + [inside], "left")
-    y = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col(x) - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    return hit.select("p.*", y.alias("y"))
+    """``points`` with ``y`` on the line between the two nodes (keys, node, value) round ``x``; null outside the nodes.
+
+    A curve has few nodes: they travel as one array a curve, so that points are neither sorted nor joined by a range.
+    """
+    curves = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("node", "value"))).alias("__nodes"))
+    joined = points.join(curves, keys, "left") if keys else points.crossJoin(curves)
+    at, n = F.col(x), F.col("__nodes")
+    below = F.size(F.filter(n, lambda p: p["node"] <= at))
+    first = F.when(below == F.size(n), below - 1).otherwise(below)
+    a, b = F.get(n, first - 1), F.get(n, first)
+    y = a["value"] + (b["value"] - a["value"]) * (at - a["node"]) / (b["node"] - a["node"])
+    return joined.withColumn("y", F.when((below > 0) & (at <= b["node"]), y)).drop("__nodes")
 
 
 def forward_label(x: Column, horizon: int, keys: list[str]) -> Column:

@@ -13,7 +13,7 @@ def simulate_path(level: list, signal: list, hold: int | None = 6, reverse: bool
 
     A trade opened at close t earns from t to t+1 on. It ends ``hold`` sessions after its entry decision, or earlier on an
     opposite signal (``reverse``) or none (``neutral``). The session's profit counts before the exit; a new trade may
-    open at the close that ends the old one. The last session decides nothing. A held session without a price raises.
+    open at the close that ends the old one. The last session decides nothing, exits included. A held session without a price raises.
     """
     out, held, age, equity = [], 0, 0, 0.0
     for t, now in enumerate(level):
@@ -23,17 +23,17 @@ def simulate_path(level: list, signal: list, hold: int | None = 6, reverse: bool
                 raise ValueError(f"no price while a position is held, session {t}")
             pnl = held * (now - level[t - 1])
             age += 1
-            if hold and age >= hold:
+            if t + 1 == len(level):
+                reason = ""  # an exit at the last close is a plan for the next session
+            elif hold and age >= hold:
                 reason = "max_hold"
             elif reverse and signal[t] == -held:
                 reason = "reverse"
             elif neutral and not signal[t]:
                 reason = "neutral"
         equity += pnl
-        if reason or not held:
-            held, age = 0, 0
-            if t + 1 < len(level) and signal[t]:
-                held = int(signal[t])
+        if t + 1 < len(level) and (reason or not held):
+            held, age = int(signal[t]), 0
         out.append((position, pnl, equity, reason))
     return out
 

@@ -27,7 +27,7 @@ def query(name, sql):
 def remap_taxonomy(spark, sf):
     n = table(spark, sf, "nation")
     rules = n.select("n_name", F.when(F.col("n_nationkey") < 12, "bank").when(F.col("n_nationkey") < 18, "fund").alias("to")).where("to is not null")
-    named = table(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     out = Q.remap(named, "n_name", rules, "n_name", "to")
     return out.groupBy(F.col("n_name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).alias("cents"))
 
@@ -115,18 +115,11 @@ def business_days(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.size(F.filter(days, lambda x: F.weekday(x) < 5)).cast("long").alias("n"))
 
 
-@query("digest", "SELECT o_orderstatus, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS digest FROM orders WHERE o_orderkey <= 2000 GROUP BY 1")
-def digest(spark, sf):
-    """Digest of a group's canonical rows, for writes that skip what hasn't changed."""
-    o = table(spark, sf, "orders").where("o_orderkey <= 2000").groupBy("o_orderstatus").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
-    return o.select("o_orderstatus", F.sha2(F.array_join(F.col("k").cast("array<string>"), ","), 256).alias("digest"))
-
-
 ORDER_ROW = "concat_ws(',', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), CAST(CAST(round(o_totalprice*100) AS BIGINT) AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)"
 
 
-@query("digest_whole", f"SELECT o_orderstatus, sha256(string_agg(digest, ',' ORDER BY part)) AS digest FROM (SELECT o_orderstatus, o_orderkey // 16384 AS part, sha256(string_agg({ORDER_ROW}, ';' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1, 2) GROUP BY 1")
-def digest_whole(spark, sf):
+@query("digest", f"SELECT o_orderstatus, sha256(string_agg(digest, ',' ORDER BY part)) AS digest FROM (SELECT o_orderstatus, o_orderkey // 16384 AS part, sha256(string_agg({ORDER_ROW}, ';' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1, 2) GROUP BY 1")
+def digest(spark, sf):
     """Digest of all of a group's canonical rows, in two levels: of each range of 16,384 keys, then of the ranges' digests."""
     row = F.concat_ws(",", "o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "o_orderpriority")
     o = table(spark, sf, "orders").select("o_orderstatus", F.expr("o_orderkey div 16384").alias("part"), F.struct(F.col("o_orderkey").alias("key"), row.alias("text")).alias("row"))

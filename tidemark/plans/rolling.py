@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
+from tidemark.operators.cross import concentration_index, consensus, cross_rank, side_difference
 from tidemark.operators.session import forward_label
 from tidemark.sources.sql import with_base
 from tidemark.sources.tables import level, orders_by_day, series
@@ -53,26 +54,58 @@ def _vals(n, last=0):
 
 
 K = ["k"]
+
+
+def _full(n, sql, part="PARTITION BY k "):
+    return f"CASE WHEN count(*) {_w(n, part=part)} = {n} THEN {sql} END"
+
+
+def full(n, column, last=0):
+    return R.full(R.frame(K, n, last=last), n, column)
+
+
 on_series("ma_strict", lambda: R.mean_over(x_(), R.frame(K, 10), 10), _mean("x", 10, 10))
-on_series("ma_min70", lambda: R.mean_over(x_(), R.frame(K, 20), 14), _mean("x", 20, 14))
-on_series("rolling_abs_sum", lambda: R.sum_over(F.abs(x_()), R.frame(K, 20), 14), f"CASE WHEN count(x) {_w(20)} >= 14 THEN CAST(sum(abs(x)) {_w(20)} AS BIGINT) END")
+on_series("ma_min70", lambda: full(20, R.mean_over(x_(), R.frame(K, 20), R.least_share(20))), _full(20, _mean("x", 20, 14)))
+on_series("ma_ceil70", lambda: full(15, R.mean_over(x_(), R.frame(K, 15), 11)), _full(15, _mean("x", 15, 11)))
+on_series("rolling_abs_sum", lambda: full(20, R.mean_over(F.abs(x_() - 500000), R.frame(K, 20), R.least_share(20))), _full(20, _mean("abs(x - 500000)", 20, 14)))
 on_series("rolling_sum_strict", lambda: R.sum_over(x_(), R.frame(K, 5), 5), f"CASE WHEN count(x) {_w(5)} = 5 THEN CAST(sum(x) {_w(5)} AS BIGINT) END")
-on_series("rolling_z60", lambda: R.zscore_over(x_(), R.frame(K, 60), 42), _z("x", 60, 42))
-on_series("rolling_z250", lambda: R.zscore_over(x_(), R.frame(K, 250), 2), _z("x", 250, 2))
+on_series("rolling_z60", lambda: full(60, R.zscore_over(x_(), R.frame(K, 60), R.least_share(60))), _full(60, _z("x", 60, 42)))
+on_series("rolling_z250", lambda: full(250, R.zscore_over(x_(), R.frame(K, 250), 2)), _full(250, _z("x", 250, 2)))
 on_series("trailing_z", lambda: R.zscore_over(x_(), R.frame(K, 60), 60), _z("x", 60, 60))
-on_series("rolling_min250", lambda: F.when(F.count(x_()).over(R.frame(K, 250)) >= 60, F.min(x_()).over(R.frame(K, 250))), f"CASE WHEN count(x) {_w(250)} >= 60 THEN min(x) {_w(250)} END")
-on_series("positive_days_ratio", lambda: F.when(F.count(x_()).over(R.frame(K, 20)) >= 14, 100 * F.count(F.when(x_() > 500000, 1)).over(R.frame(K, 20)) / F.count(x_()).over(R.frame(K, 20))), f"CASE WHEN count(x) {_w(20)} >= 14 THEN 100 * count(CASE WHEN x > 500000 THEN 1 END) {_w(20)} / count(x) {_w(20)} END")
-on_series("pct_midrank", lambda: R.percentile_midrank(x_(), R.frame(K, 60), 42), f"CASE WHEN x IS NOT NULL AND len({_vals(60)}) >= 42 THEN 50.0::DOUBLE * (2*len(list_filter({_vals(60)}, lambda v: v < x)) + len(list_filter({_vals(60)}, lambda v: v = x))) / len({_vals(60)}) END")
+on_series("rolling_min250", lambda: full(250, F.when(F.count(x_()).over(R.frame(K, 250)) >= 60, F.min(x_()).over(R.frame(K, 250)))), _full(250, f"CASE WHEN count(x) {_w(250)} >= 60 THEN min(x) {_w(250)} END"))
+on_series("rolling_max250", lambda: full(250, F.when(F.count(x_()).over(R.frame(K, 250)) >= 60, F.max(x_()).over(R.frame(K, 250)))), _full(250, f"CASE WHEN count(x) {_w(250)} >= 60 THEN max(x) {_w(250)} END"))
+on_series("positive_days_ratio", lambda: full(20, R.positive_share(x_() - 500000, R.frame(K, 20), R.least_share(20))), _full(20, f"CASE WHEN count(x) {_w(20)} >= 14 THEN 100 * count(CASE WHEN x > 500000 THEN 1 END) {_w(20)} / count(x) {_w(20)} END"))
+on_series("pct_midrank", lambda: full(60, R.percentile_midrank(x_(), R.frame(K, 60), 1)), _full(60, f"CASE WHEN x IS NOT NULL THEN 50.0::DOUBLE * (2*len(list_filter({_vals(60)}, lambda v: v < x)) + len(list_filter({_vals(60)}, lambda v: v = x))) / len({_vals(60)}) END"))
 on_series("pct_strict", lambda: R.percentile_strict(x_(), R.frame(K, 60), 40), f"CASE WHEN x IS NOT NULL AND len({_vals(60)}) >= 40 THEN 100.0::DOUBLE * len(list_filter({_vals(60)}, lambda v: v < x)) / (count(*) {_w(60)} - 1) END")
-on_series("pct_le", lambda: R.percentile_at_most(x_(), R.frame(K, 250), 60), f"CASE WHEN x IS NOT NULL AND len({_vals(250)}) >= 60 THEN 100.0::DOUBLE * len(list_filter({_vals(250)}, lambda v: v <= x)) / len({_vals(250)}) END")
-on_series("gate_signed", lambda: R.gate_signal(R.percentile_midrank(x_(), R.frame(K, 250, last=-1), 60), F.lit(1)), f"CAST(CASE WHEN p IS NULL THEN 0 WHEN p > 60 THEN 1 WHEN p < 40 THEN -1 ELSE 0 END AS INTEGER)")
+on_series("pct_le", lambda: R.percentile_at_most(x_(), R.frame(K, 250), 175), f"CASE WHEN x IS NOT NULL AND len({_vals(250)}) >= 175 THEN 100.0::DOUBLE * len(list_filter({_vals(250)}, lambda v: v <= x)) / len({_vals(250)}) END")
+on_series("gate_signed", lambda: R.gate_signal(R.percentile_midrank(x_(), R.frame(K, 250, last=-1), 60), F.lit(1)), "")
 ORACLE_SQL["gate_signed"] = with_base(f", g AS (SELECT k, s, CASE WHEN x IS NOT NULL AND len({_vals(250, -1)}) >= 60 THEN 50.0::DOUBLE * (2*len(list_filter({_vals(250, -1)}, lambda v: v < x)) + len(list_filter({_vals(250, -1)}, lambda v: v = x))) / len({_vals(250, -1)}) END AS p FROM ser) SELECT k, s, CAST(CASE WHEN p IS NULL THEN 0 WHEN p > 60 THEN 1 WHEN p < 40 THEN -1 ELSE 0 END AS INTEGER) AS gate_signed FROM g")
-on_series("act_anomaly", lambda: R.mean_over(F.abs(x_()), R.frame(K, 20), 14) / R.mean_over(F.abs(x_()), R.frame(K, 250), 60), f"({_mean('abs(x)', 20, 14)}) / ({_mean('abs(x)', 250, 60)})")
-on_series("acceleration", lambda: R.mean_over(x_(), R.frame(K, 5), 4) - R.mean_over(x_(), R.frame(K, 20), 14), f"({_mean('x', 5, 4)}) - ({_mean('x', 20, 14)})")
+on_series("acceleration", lambda: full(5, R.mean_over(x_(), R.frame(K, 5), 4)) - full(20, R.mean_over(x_(), R.frame(K, 20), 14)), f"({_full(5, _mean('x', 5, 4))}) - ({_full(20, _mean('x', 20, 14))})")
+on_series("cum_slope10", lambda: F.round(R.cumulative_slope(x_(), 10, K), 4), "round((" + " + ".join(f"lag(x, {9 - j}) OVER (PARTITION BY k ORDER BY s) * {sum(i - 4.5 for i in range(j, 10))}::DOUBLE" for j in range(10)) + ") / 82.5::DOUBLE, 4)")
 on_series("lag_change5", lambda: x_() - F.lag(x_(), 5).over(R.ordered(K)), "x - lag(x, 5) OVER (PARTITION BY k ORDER BY s)")
 on_series("cumulative_sum", lambda: F.sum(x_()).over(R.ordered(K).rowsBetween(Window.unboundedPreceding, 0)), "CAST(sum(x) OVER (PARTITION BY k ORDER BY s ROWS UNBOUNDED PRECEDING) AS BIGINT)")
 on_series("cumulative_max", lambda: F.max(x_()).over(R.ordered(K).rowsBetween(Window.unboundedPreceding, 0)), "max(x) OVER (PARTITION BY k ORDER BY s ROWS UNBOUNDED PRECEDING)")
-on_series("range_position", lambda: F.when(F.max(x_()).over(R.frame(K, 250)) > F.min(x_()).over(R.frame(K, 250)), F.lit(100.0) * (x_() - F.min(x_()).over(R.frame(K, 250))) / (F.max(x_()).over(R.frame(K, 250)) - F.min(x_()).over(R.frame(K, 250)))), f"CASE WHEN max(x) {_w(250)} > min(x) {_w(250)} THEN 100.0::DOUBLE * (x - min(x) {_w(250)}) / (max(x) {_w(250)} - min(x) {_w(250)}) END")
+
+
+def _activity(spark, sf):
+    """Mean size of the last 20 sessions against its own mean over 250."""
+    a = series(spark, sf).select("k", "s", full(20, R.mean_over(F.abs(x_() - 500000), R.frame(K, 20), 14)).alias("x"))
+    base = full(250, R.mean_over(x_(), R.frame(K, 250), R.least_share(250)))
+    return a.select("k", "s", base.alias("base"), "x").select("k", "s", F.round(F.when(F.col("base") > 1e-9, x_() / F.col("base")), 9).alias("act_anomaly"))
+
+
+QUERIES["act_anomaly"] = _activity
+ORACLE_SQL["act_anomaly"] = with_base(f", a AS (SELECT k, s, {_full(20, _mean('abs(x - 500000)', 20, 14))} AS x FROM ser), b AS (SELECT k, s, x, CASE WHEN count(*) {_w(250)} = 250 AND count(x) {_w(250)} >= 175 THEN avg(x) {_w(250)} END AS base FROM a) SELECT k, s, round(CASE WHEN base > 1e-9 THEN x / base END, 9) AS act_anomaly FROM b")
+
+
+def _range_position(spark, sf):
+    """Where the running 20-session sum (mean times 20) stands in its range of 250 sessions."""
+    c = series(spark, sf).select("k", "s", full(20, R.mean_over(x_() - 500000, R.frame(K, 20), 14) * 20).alias("x"))
+    return c.select("k", "s", F.round(full(250, R.range_position(x_(), R.frame(K, 250), 60)), 7).alias("range_position"))
+
+
+QUERIES["range_position"] = _range_position
+ORACLE_SQL["range_position"] = with_base(f", c AS (SELECT k, s, {_full(20, '(' + _mean('(x - 500000)', 20, 14) + ') * 20')} AS x FROM ser) SELECT k, s, round(CASE WHEN count(*) {_w(250)} = 250 AND count(x) {_w(250)} >= 60 AND max(x) {_w(250)} > min(x) {_w(250)} THEN 100.0::DOUBLE * (x - min(x) {_w(250)}) / (max(x) {_w(250)} - min(x) {_w(250)}) END, 7) AS range_position FROM c")
 
 L: list[str] = []
 P = ""
@@ -80,7 +113,6 @@ on_level("momentum20", lambda: x_() / F.lag(x_(), 20).over(R.ordered(L)) - 1, "x
 on_level("forward_label", lambda: forward_label(x_(), 6, L), "lead(x, 6) OVER (ORDER BY s) - x")
 on_level("bollinger", lambda: (x_() - R.mean_over(x_(), R.frame(L, 20), 14)) / (2 * R.deviation_over(x_(), R.frame(L, 20), 20, 0)), f"(x - ({_mean('x', 20, 14, P)})) / (2 * ({_dev('x', 20, 20, 0, P)}))")
 on_level("drawdown_rolling", lambda: x_() / F.max(x_()).over(R.frame(L, 250)) - 1, f"x / max(x) {_w(250, part=P)} - 1")
-on_level("spread_vol20", lambda: R.deviation_over(F.col("dx"), R.frame(L, 20), 20, 0), "")
 QUERIES["spread_vol20"] = lambda spark, sf: level(spark, sf).withColumn("dx", x_() - F.lag(x_()).over(R.ordered([]))).select("s", R.deviation_over(F.col("dx"), R.frame([], 20), 20, 0).alias("spread_vol20"))
 ORACLE_SQL["spread_vol20"] = with_base(f", c AS (SELECT s, x - lag(x) OVER (ORDER BY s) AS dx FROM lvl) SELECT s, {_dev('dx', 20, 20, 0, P)} AS spread_vol20 FROM c")
 
@@ -112,33 +144,45 @@ ORACLE_SQL["ema12"] = with_base(
     " SELECT k, d, round(list_reduce(list_transform(list(x) OVER (PARTITION BY k ORDER BY i), lambda v: v::DOUBLE), lambda a, b: a * (11/13) + b * (2/13)), 4) AS ema12 FROM o")
 
 
+MOMENTUM = f", v AS (SELECT k, s, {_full(20, _mean('(x - 500000)', 20, 14))} AS v FROM ser)"
+
+
+def momentum(spark, sf):
+    """(k, s, v): each key's mean over 20 sessions of its net value."""
+    return series(spark, sf).select("k", "s", full(20, R.mean_over(x_() - 500000, R.frame(K, 20), 14)).alias("v"))
+
+
 def _consensus(spark, sf):
-    w = series(spark, sf).withColumn("dx", x_() - F.lag(x_(), 5).over(R.ordered(["k"])))
-    up, down = F.count_if(F.col("dx") > 0), F.count_if(F.col("dx") < 0)
-    return w.groupBy("s").agg((100 * (up - down) / F.nullif(up + down, F.lit(0))).alias("consensus"))
+    return consensus(momentum(spark, sf), "v", ["s"])
 
 
 QUERIES["consensus"] = _consensus
-ORACLE_SQL["consensus"] = with_base(", c AS (SELECT s, x - lag(x, 5) OVER (PARTITION BY k ORDER BY s) AS dx FROM ser), u AS (SELECT s, count(CASE WHEN dx > 0 THEN 1 END) AS up, count(CASE WHEN dx < 0 THEN 1 END) AS dn FROM c GROUP BY s) SELECT s, 100 * (up - dn) / nullif(up + dn, 0) AS consensus FROM u")
+ORACLE_SQL["consensus"] = with_base(MOMENTUM + ", u AS (SELECT s, count(v) AS n, count(CASE WHEN v > 0 THEN 1 END) AS up, count(CASE WHEN v < 0 THEN 1 END) AS dn FROM v GROUP BY s) SELECT s, CASE WHEN n >= 5 THEN 100 * (up - dn) / nullif(up + dn, 0) END AS consensus FROM u")
 
 
 def _cross_rank(spark, sf):
-    s = series(spark, sf).where("x is not null")
-    m = F.count(F.lit(1)).over(Window.partitionBy("s"))
-    return s.select("k", "s", F.when(m >= 4, 100 * (R.average_rank(x_(), ["s"]) - 1) / (m - 1)).alias("xs_rank_pct"))
+    return cross_rank(momentum(spark, sf), "v", ["s"], "xs_rank_pct").select("k", "s", "xs_rank_pct")
 
 
 QUERIES["xs_rank_pct"] = _cross_rank
-ORACLE_SQL["xs_rank_pct"] = with_base(", r AS (SELECT k, s, rank() OVER (PARTITION BY s ORDER BY x) + (count(*) OVER (PARTITION BY s, x) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY s) AS m FROM ser WHERE x IS NOT NULL) SELECT k, s, CASE WHEN m >= 4 THEN 100 * (r - 1) / (m - 1) END AS xs_rank_pct FROM r")
+ORACLE_SQL["xs_rank_pct"] = with_base(MOMENTUM + ", r AS (SELECT k, s, rank() OVER (PARTITION BY s ORDER BY v) + (count(*) OVER (PARTITION BY s, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY s) AS m FROM v WHERE v IS NOT NULL) SELECT k, s, CASE WHEN m >= 5 THEN 100 * (r - 1) / (m - 1) END AS xs_rank_pct FROM r")
 
 
 def _hhi(spark, sf):
-    share = F.col("x").cast("double") / F.sum("x").over(Window.partitionBy("s"))
-    return series(spark, sf).where("x is not null").select("s", (share * share).alias("q")).groupBy("s").agg(F.round(F.sum("q"), 10).alias("hhi"))
+    return concentration_index(momentum(spark, sf), "v", ["s"]).withColumn("hhi", F.round("hhi", 9))
 
 
 QUERIES["hhi"] = _hhi
-ORACLE_SQL["hhi"] = with_base(", q AS (SELECT s, (x::DOUBLE / sum(x) OVER (PARTITION BY s))*(x::DOUBLE / sum(x) OVER (PARTITION BY s)) AS q FROM ser WHERE x IS NOT NULL) SELECT s, round(sum(q), 10) AS hhi FROM q GROUP BY s")
+ORACLE_SQL["hhi"] = with_base(MOMENTUM + ", t AS (SELECT s, count(v) AS n, sum(abs(v)) AS total FROM v GROUP BY s), q AS (SELECT v.s, any_value(n) AS n, any_value(total) AS total, sum((abs(v) / total) * (abs(v) / total)) AS q FROM v JOIN t ON v.s = t.s GROUP BY v.s) SELECT s, round(CASE WHEN n >= 5 AND total > 1e-9 THEN 100 * q END, 9) AS hhi FROM q")
+
+
+def _sides(spark, sf):
+    """Strict sum over one set of keys less that over another: null where any member lacks a value."""
+    return side_difference(momentum(spark, sf), "k", "v", ["s"], ["1", "2"], ["4", "5"])
+
+
+QUERIES["side_difference"] = _sides
+ORACLE_SQL["side_difference"] = with_base(MOMENTUM + " SELECT s, round(CASE WHEN count(v) FILTER (k IN ('1','2')) = 2 AND count(v) FILTER (k IN ('4','5')) = 2 THEN sum(v) FILTER (k IN ('1','2')) - sum(v) FILTER (k IN ('4','5')) END, 6) AS side_difference FROM v GROUP BY s")
 
 
 def _pair_difference(spark, sf):

@@ -42,7 +42,7 @@ run AS (
     CASE WHEN was <> 0 AND reason = '' THEN was WHEN s < last THEN signal ELSE 0 END,
     CASE WHEN was <> 0 AND reason = '' THEN age + 1 ELSE 0 END
   FROM (SELECT p.*, r.held AS was, r.age, r.equity, r.held * (p.level - r.level) AS pnl,
-      CASE WHEN r.held = 0 THEN '' WHEN r.age + 1 >= {HOLD} THEN 'max_hold' WHEN {leave} THEN '{reason}' ELSE '' END AS reason
+      CASE WHEN r.held = 0 OR p.s = p.last THEN '' WHEN r.age + 1 >= {HOLD} THEN 'max_hold' WHEN {leave} THEN '{reason}' ELSE '' END AS reason
     FROM run r JOIN ph p ON p.phase = r.phase AND p.s = r.s + 1) q)
 SELECT CAST(phase AS BIGINT) AS phase, s, CAST(position AS INTEGER) AS position, daily_pnl::DOUBLE AS daily_pnl, equity::DOUBLE AS equity, reason FROM run"""
 
@@ -84,7 +84,7 @@ def exit_replay(spark, sf):
 
 @query("circular_shift_p", with_base(""", f AS (SELECT year(d) AS yr, s, x AS a, lead(x) OVER (PARTITION BY year(d) ORDER BY s) - x AS b FROM lvl),
 i AS (SELECT yr, a, b, row_number() OVER (PARTITION BY yr ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY yr) AS n FROM f WHERE b IS NOT NULL),
-k AS (SELECT i.*, unnest(range(0, n, 7)) AS shift FROM i),
+k AS (SELECT i.*, unnest(range(0, n)) AS shift FROM i),
 m AS (SELECT k.yr, k.shift, count(*) AS n, sum(k.a)::DOUBLE AS sa, sum(j.b)::DOUBLE AS sb, sum(k.a*k.a)::DOUBLE AS saa, sum(j.b*j.b)::DOUBLE AS sbb, sum(k.a*j.b)::DOUBLE AS sab FROM k JOIN i j ON j.yr = k.yr AND j.i = (k.i + k.shift) % k.n GROUP BY 1, 2),
 c AS (SELECT yr, shift, CASE WHEN n*saa - sa*sa > 0 AND n*sbb - sb*sb > 0 THEN (n*sab - sa*sb) / (sqrt(n*saa - sa*sa) * sqrt(n*sbb - sb*sb)) END AS ic FROM m),
 o AS (SELECT yr, ic AS own FROM c WHERE shift = 0)
@@ -92,7 +92,7 @@ SELECT yr, round(any_value(own), 9) AS ic, count(*) FILTER (shift > 0) AS shifts
 def circular_shift_p(spark, sf):
     f = level(spark, sf).select(F.year("d").cast("long").alias("yr"), "s", F.col("x").alias("a"))
     f = f.withColumn("b", F.lead("a").over(R.ordered(["yr"])) - F.col("a"))
-    return circular_shift_test(f, "a", "b", ["yr"], step=7).select("yr", F.round("ic", 9).alias("ic"), "shifts", "p")
+    return circular_shift_test(f, "a", "b", ["yr"], step=1).select("yr", F.round("ic", 9).alias("ic"), "shifts", "p")
 
 
 @query("circular_shift_rank_p", with_base(""", f AS (SELECT year(d) AS yr, s, x AS a, lead(x) OVER (PARTITION BY year(d) ORDER BY s) - x AS b FROM lvl),

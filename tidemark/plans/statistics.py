@@ -70,7 +70,7 @@ PAIRS = ", lab AS (SELECT s, d, x, lead(x, 6) OVER (ORDER BY s) - x AS y FROM lv
 
 def pairs(spark, sf):
     lab = level(spark, sf).select("s", (F.lead("x", 6).over(R.ordered([])) - F.col("x")).alias("y"))
-    return series(spark, sf).join(F.broadcast(lab), "s").where("x is not null and y is not null")
+    return series(spark, sf).join(lab, "s").where("x is not null and y is not null")
 
 
 @query("pearson_ic", with_base(f"{PAIRS} SELECT k, count(*) AS n, round(corr(x::DOUBLE, y::DOUBLE), 8) AS ic FROM fac GROUP BY k"))
@@ -111,7 +111,7 @@ def nw_t(spark, sf):
     g, w = Window.partitionBy("k"), R.ordered(["k"])
     o = pairs(spark, sf).select("k", "s", (F.col("x") - F.avg("x").over(g)).alias("xc"), (F.col("y") - F.avg("y").over(g)).alias("yc"))
     b = o.groupBy("k").agg((F.sum(F.col("xc") * F.col("yc")) / F.sum(F.col("xc") * F.col("xc"))).alias("beta"), F.sum(F.col("xc") * F.col("xc")).alias("sxx"))
-    u = o.join(F.broadcast(b), "k").withColumn("u", F.col("xc") * (F.col("yc") - F.col("beta") * F.col("xc")))
+    u = o.join(b, "k").withColumn("u", F.col("xc") * (F.col("yc") - F.col("beta") * F.col("xc")))
     lags = u.select("k", "beta", "sxx", *[(F.col("u") * (F.lag("u", i).over(w) if i else F.col("u"))).alias(f"g{i}") for i in range(4)])
     v = F.sum("g0") + 2 * sum(((1 - i / 4) * F.sum(f"g{i}") for i in (1, 2, 3)), F.lit(0.0))
     return lags.groupBy("k").agg(F.round(F.first("beta") * F.first("sxx") / F.sqrt(v), 6).alias("t"))
@@ -130,7 +130,7 @@ def bh_q(spark, sf):
 def quintiles(spark, sf):
     f = pairs(spark, sf)
     e = f.groupBy("k").agg(F.percentile("x", F.array(*[F.lit(v) for v in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
-    b = f.join(F.broadcast(e), "k").withColumn("bin", (1 + F.size(F.filter("q", lambda v: F.col("x") > v))).cast("long"))
+    b = f.join(e, "k").withColumn("bin", (1 + F.size(F.filter("q", lambda v: F.col("x") > v))).cast("long"))
     return b.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"), (F.sum("y") / F.count(F.lit(1))).alias("mean_y"))
 
 
@@ -224,7 +224,7 @@ run AS (
   SELECT phase, s, level, 0 AS position, 0::BIGINT AS daily_pnl, 0::BIGINT AS equity, '' AS reason, CASE WHEN s < last THEN signal ELSE 0 END AS held, 0 AS age FROM ph WHERE s = 1
   UNION ALL
   SELECT p.phase, p.s, p.level, r.held, r.held * (p.level - r.level), r.equity + r.held * (p.level - r.level),
-    CASE WHEN r.held <> 0 AND r.age + 1 >= 6 THEN 'max_hold' ELSE '' END,
+    CASE WHEN r.held <> 0 AND r.age + 1 >= 6 AND p.s < p.last THEN 'max_hold' ELSE '' END,
     CASE WHEN r.held <> 0 AND r.age + 1 < 6 THEN r.held WHEN p.s < p.last THEN p.signal ELSE 0 END,
     CASE WHEN r.held <> 0 AND r.age + 1 < 6 THEN r.age + 1 ELSE 0 END
   FROM run r JOIN ph p ON p.phase = r.phase AND p.s = r.s + 1)
