@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +38,12 @@ class BlockMaxIndex:
     before any block is opened, and a block's bound takes the largest.
 
     ``terms`` numbers the terms and ``idf`` weighs them; ``own`` holds each example's term numbers and counts, one
-    example behind the other, ``sizes`` how many are whose.
+    example behind the other, ``sizes`` how many are whose. An index travels as these, compressed, and is built again
+    where it arrives.
     """
 
     def __init__(self, terms: dict[str, int], idf: np.ndarray, docs, labels, own: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, block: int = 64):
+        self.given = zlib.compress(pickle.dumps((list(terms), np.asarray(idf), np.asarray(docs), np.asarray(labels), tuple(np.asarray(x, np.int32) for x in own), np.asarray(sizes), block)), 1)
         self.terms, self.idf, n, sizes = terms, np.asarray(idf, float), len(docs), np.asarray(sizes, np.int64)
         term, count = np.asarray(own[0], np.int64), np.asarray(own[1], float)
         example = np.repeat(np.arange(n), sizes)
@@ -70,6 +75,9 @@ class BlockMaxIndex:
         self.cell_max = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.term_cells = np.searchsorted(term[starts], np.arange(len(self.idf) + 1))
 
+    def __reduce__(self):
+        return _arrived, (self.given,)
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Indices and weights, of length 1, over the terms known; empty where there is none."""
         at = np.fromiter((self.terms.get(t, -1) for t in counts), np.int64, len(counts))
@@ -134,6 +142,11 @@ class BlockMaxIndex:
         return examples[order], cosines[order]
 
 
+def _arrived(given: bytes) -> BlockMaxIndex:
+    terms, *rest = pickle.loads(zlib.decompress(given))
+    return BlockMaxIndex({t: i for i, t in enumerate(terms)}, *rest)
+
+
 def _ranges(first: np.ndarray, end: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges [first, end), one range behind the other, and each range's factor beside them."""
     sizes = end - first
@@ -144,7 +157,7 @@ def _ranges(first: np.ndarray, end: np.ndarray, factor: np.ndarray) -> tuple[np.
 
 @dataclass(frozen=True)
 class Model:
-    index: BlockMaxIndex
+    shared: Broadcast  # of the index
     k: int
     calibration: tuple[float, float]
     base: float
@@ -152,13 +165,18 @@ class Model:
     shrink: float = 6.0
     rates: tuple[float, float] = (1.0, 1.0)  # labelled rows that one example of label 0, of label 1, stands for
 
+    @property
+    def index(self) -> BlockMaxIndex:
+        return self.shared.value
+
     def votes(self, many: list[dict[str, int]], without: list | None = None):
         """Yield for each text the weighted share of toxic among the nearest (the weight grows as the distance falls), drawn towards the base
         rate as by ``shrink`` far examples, and the evidence. An example weighs as many labelled rows as it stands for,
         so that a bound on either label's examples leaves the labelled share as it is."""
-        for found, cosines in self.index.nearest_of(many, self.k, without):
-            weights = np.where(self.index.labels[found] > 0, self.rates[1], self.rates[0]) / (1.1 - np.minimum(cosines, 1.0))
-            share = (weights @ self.index.labels[found] + self.shrink * self.base) / (weights.sum() + self.shrink)
+        index = self.index
+        for found, cosines in index.nearest_of(many, self.k, without):
+            weights = np.where(index.labels[found] > 0, self.rates[1], self.rates[0]) / (1.1 - np.minimum(cosines, 1.0))
+            share = (weights @ index.labels[found] + self.shrink * self.base) / (weights.sum() + self.shrink)
             yield float(share) if len(found) else None, found, cosines
 
     def calibrated(self, vote: float | None) -> float:
@@ -179,7 +197,7 @@ def relevance(n0: np.ndarray, n1: np.ndarray, total0: int, total1: int, prior: f
     return least + (np.log((n1 + rows * base) / (n0 + rows * (1 - base))) - np.log(base / (1 - base))) ** 2
 
 
-def train(docs: DataFrame, labels: DataFrame, k: int = 31, examples: int = 4096) -> Model:
+def train(docs: DataFrame, labels: DataFrame, k: int = 31, examples: int = 2048) -> Model:
     """Index labelled examples by all of their terms, and calibrate their votes, each example without itself.
 
     Examples are at most ``examples`` labelled rows of either label, those least by a hash of doc_id; votes and calibration
@@ -208,29 +226,31 @@ def train(docs: DataFrame, labels: DataFrame, k: int = 31, examples: int = 4096)
     words = pc.list_flatten(rows["terms"]).combine_chunks()
     words = words.dictionary_encode()
     names = words.dictionary.to_pylist() if len(words) else []
-    found = _frequencies(docs, kept, {t: i for i, t in enumerate(names)})
+    found = _frequencies(docs, kept, names)
     idf = np.log((1 + docs.count()) / (1 + found[:, 0])) + 1
     sizes = pc.list_value_length(rows["terms"]).to_numpy().astype(np.int64)
-    own = words.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int64), pc.list_flatten(rows["counts"]).to_numpy()
+    own = words.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int32), pc.list_flatten(rows["counts"]).to_numpy()
     toxic, ids = rows["toxic"].to_numpy(), rows["doc_id"].to_numpy()
+    del words, rows
     index = BlockMaxIndex({t: i for i, t in enumerate(names)}, idf * relevance(found[:, 1], found[:, 2], n0, n1), ids, toxic, own, sizes)
     blank = sizes == 0
     unknown = float((toxic[blank].sum() + base) / (blank.sum() + 1))
     each = [totals.get(label, 0) / max(1, int((toxic == label).sum())) for label in (0, 1)]
     mean = (n0 + n1) / max(1, len(ids))
-    model = Model(index, k, (8.0, 0.0), base, unknown, rates=tuple(x / mean for x in each) if n0 + n1 else (1.0, 1.0))
-    return Model(index, k, _calibrate(model, held), base, unknown, rates=model.rates)
+    model = Model(spark.sparkContext.broadcast(index), k, (8.0, 0.0), base, unknown, rates=tuple(x / mean for x in each) if n0 + n1 else (1.0, 1.0))
+    return replace(model, calibration=_calibrate(model, held))
 
 
-def _frequencies(docs: DataFrame, kept: DataFrame, number: dict[str, int]) -> np.ndarray:
-    """A row a term of ``number``: how many documents hold it, and how many of the labelled rows ``kept`` with label 0, with label 1.
+def _frequencies(docs: DataFrame, kept: DataFrame, terms: list[str]) -> np.ndarray:
+    """A row a term: how many documents hold it, and how many of the labelled rows ``kept`` with label 0, with label 1.
 
     Tasks count into arrays as long as the vocabulary; what is shuffled are the terms seen, and their sums come back.
     """
-    n, shared = len(number), docs.sparkSession.sparkContext.broadcast(number)
+    n, shared = len(terms), docs.sparkSession.sparkContext.broadcast(zlib.compress("\n".join(terms).encode(), 1))  # no term holds white space
 
     def run(batches):
-        number, sums = shared.value, np.zeros((n, 3), np.int64)
+        number = {t: i for i, t in enumerate(zlib.decompress(shared.value).decode().split("\n"))}
+        sums = np.zeros((n, 3), np.int64)
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 at = [i for i in map(number.get, {w.strip(EDGES) for w in set(text.lower().split())}) if i is not None]
@@ -244,18 +264,18 @@ def _frequencies(docs: DataFrame, kept: DataFrame, number: dict[str, int]) -> np
     out = np.zeros((n, 3))
     if n:
         sums = map_batches(joined, run, "term int, n long, n0 long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+        shared.unpersist()
         out[sums["term"].to_numpy()] = np.stack([sums[c].to_numpy() for c in ("n", "n0", "n1")], axis=1)
     return out
 
 
 def _calibrate(model: Model, held: DataFrame) -> tuple[float, float]:
     """Slope and offset of the log odds in the vote, by weighted logistic loss on the votes of all examples, each without itself."""
-    shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
             many = [dict(zip(t, n, strict=True)) for t, n in zip(b["terms"], b["counts"], strict=True)]
-            yield {"doc_id": b["doc_id"], "vote": [v for v, *_ in shared.value.votes(many, b["doc_id"])], "toxic": b["toxic"]}
+            yield {"doc_id": b["doc_id"], "vote": [v for v, *_ in model.votes(many, b["doc_id"])], "toxic": b["toxic"]}
 
     found = map_batches(held.repartition(max(8, len(model.index.docs) // 512)), run, "doc_id long, vote double, toxic int").where("vote is not null").collect()
     votes = [(r["vote"], r["toxic"]) for r in sorted(found, key=lambda r: r["doc_id"])]
@@ -276,10 +296,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A text without a known term, such as a null or empty one, gets the labelled share of toxic among such texts and no
     evidence. Whole texts, whatever their length. Repeated rows and rows without a doc_id are scored each; no rows, no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
         index = model.index
         for b in batches:
             scores, evidence = [], []
@@ -304,11 +322,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is scored as in ``score``; repeated rows each; no rows, no rows.
     """
-    shared = spark.sparkContext.broadcast(train(docs, read(spark, sf_dir, "labels")))
+    model = train(docs, read(spark, sf_dir, "labels"))
     own = docs.columns
 
     def run(batches):
-        model = shared.value
         for b in batches:
             found = [t or "" for t in b.column(own.index("text")).to_pylist()]
             yield b.filter(pa.array([model.calibrated(v) < 0.7 for v, *_ in model.votes([term_counts(t) for t in found])], pa.bool_()))
