@@ -122,8 +122,8 @@ def reject_set(df: DataFrame, p: str, keys: list[str], alpha: float = 0.05) -> D
     rank = F.row_number().over(own.orderBy(p))
     last = F.max(F.when(F.col(p) <= alpha * F.col("__r") / F.col("__m"), F.col(p))).over(own)
     ranked = df.withColumn("__r", rank).withColumn("__m", F.count(p).over(own)).withColumn("__last", last)
-    median = F.percentile(p, F.lit(0.5)).over(Window.partitionBy(*keys))
-    return ranked.withColumn("rejected", F.coalesce(F.col(p) <= F.col("__last"), F.lit(False))).withColumn("median_p", median).drop("__r", "__m", "__last")
+    medians = df.groupBy(*keys).agg(F.percentile(p, F.lit(0.5)).alias("median_p"))
+    return ranked.withColumn("rejected", F.coalesce(F.col(p) <= F.col("__last"), F.lit(False))).drop("__r", "__m", "__last").join(medians, keys)
 
 
 def rolling_correlation(x: str, y: str, keys: list[str], rows: int, order: str = "s") -> Column:

@@ -102,11 +102,11 @@ def thinned_t(spark, sf):
     return rounded(C.thinned_t(standing(spark, sf), "x", "y", K, 6), 6, "t")
 
 
-@query("reject_set", "WITH p AS (SELECT c_custkey AS id, c_nationkey AS g, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE pow((c_custkey * 7919 % 1000) / 1000.0::DOUBLE, 3) END AS p FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS r, count(*) OVER (PARTITION BY g) AS m FROM p WHERE p IS NOT NULL), t AS (SELECT g, max(p) FILTER (p <= 0.05 * r / m) AS last FROM r GROUP BY g), md AS (SELECT g, quantile_cont(p, 0.5) AS median_p FROM p GROUP BY g) SELECT id, p.g, coalesce(p <= last, false) AS rejected, round(median_p, 9) AS median_p FROM p JOIN md ON md.g = p.g LEFT JOIN t ON t.g = p.g")
+@query("reject_set", "WITH p AS (SELECT c_custkey AS id, c_nationkey AS g, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE pow((c_custkey * 7919 % 1000) / 1000.0::DOUBLE, 3) END AS p FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS r, count(*) OVER (PARTITION BY g) AS m FROM p WHERE p IS NOT NULL), t AS (SELECT g, max(p) FILTER (p <= 0.05 * r / m) AS last FROM r GROUP BY g), md AS (SELECT g, quantile_cont(p, 0.5) AS median_p FROM p GROUP BY g) SELECT id, p.g, coalesce(p <= last, false) AS rejected, round(median_p, 10) AS median_p FROM p JOIN md ON md.g = p.g LEFT JOIN t ON t.g = p.g")
 def reject_set(spark, sf):
     k = F.col("c_custkey")
     p = table(spark, sf, "customer").select(k.alias("id"), F.col("c_nationkey").alias("g"), F.when(k % 11 != 0, F.pow(k * 7919 % 1000 / F.lit(1000.0), F.lit(3))).alias("p"))
-    return C.reject_set(p, "p", ["g"]).select("id", "g", "rejected", F.round("median_p", 9).alias("median_p"))
+    return C.reject_set(p, "p", ["g"]).select("id", "g", "rejected", F.round("median_p", 10).alias("median_p"))
 
 
 DENSE = PAIRS + ", ric AS (SELECT k, s, CASE WHEN count(*) OVER w = 60 THEN corr(x::DOUBLE, y::DOUBLE) OVER w END AS ic FROM fac WINDOW w AS (PARTITION BY k ORDER BY s ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"

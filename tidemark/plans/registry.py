@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import factors, relational, rolling, simulation, statistics
+from tidemark.plans import evaluation, factors, relational, rolling, simulation, statistics
 
 FLAGSHIP = "factor_chain_pct60"
-QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES, **simulation.QUERIES, **factors.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL, **simulation.ORACLE_SQL, **factors.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES, **simulation.QUERIES, **factors.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL, **simulation.ORACLE_SQL, **factors.ORACLE_SQL, **evaluation.ORACLE_SQL}
