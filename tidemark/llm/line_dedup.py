@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,44 +33,50 @@ def hashes_of(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\n"))))
 
 
-def winnow(shape: DataFrame, min_chars: int) -> DataFrame:
-    """``shape`` (doc, version, h: line hashes, m: what each line counts) with arrays by line.
+def winnow(shape: DataFrame, min_chars: int, window: int = 3) -> DataFrame:
+    """``shape`` (doc, version, h: line hashes, m: what each line counts) with ``picks``: the least hash of every ``window``
+    lines in a row, and the lines that alone make up a share of ``min_chars``.
 
-    ``k`` is the least number of lines from a line on that make up ``min_chars``, ``b`` that of lines up to it (null where
-    the text ends before); ``least`` is the least hash of the k lines: the line that winnowing picks in that window.
+    A run of ``min_chars`` of fewer lines than the window has a line of that share, any other run holds a whole window: so
+    two places that share a run share a pick in it, and no line of a run is ``window`` or more lines away from one.
+    ``twice`` holds the hashes that a text has more than once. Each step is a column of its own, as a lambda that held the
+    expression of the one before would compute it for every element.
     """
-    lines = F.sequence(F.lit(0), F.size("m") - 1)
-    reached = shape.select("doc", "version", "h", F.transform(lines, lambda i: _reach("m", i, 1, min_chars)).alias("k"), F.transform(lines, lambda i: _reach("m", i, -1, min_chars)).alias("b"))
-    return reached.withColumn("least", F.transform("k", lambda k, i: F.when(k.isNotNull(), F.array_min(F.slice("h", i + 1, k)))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0)))
+    least = F.transform(starts, lambda i: F.array_min(F.slice("h", i + 1, window)))
+    long = F.filter(F.zip_with("h", "m", lambda x, n: F.when(n * (window - 1) >= min_chars, x)), lambda x: x.isNotNull())
+    ordered = shape.select("*", F.array_distinct(F.concat(least, long)).alias("picks"), F.array_sort("h").alias("ordered"))
+    return ordered.withColumn("twice", F.filter("ordered", lambda x, i: x == F.get("ordered", i + 1))).drop("ordered")
 
 
 def _repeated_picks(shape: DataFrame) -> DataFrame:
     """(doc, version, marks): the picks of each document that occur at another place too, in it or in another document."""
-    picks = shape.select("doc", "version", F.explode(F.array_distinct(F.filter("least", lambda x: x.isNotNull()))).alias("pick"))
-    often = picks.groupBy("pick").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pick")
-    often = materialize(often, "picks")  # a join apart from the groups can be split where a pick is frequent
-    ordered = F.array_sort("h")
-    twice = shape.select("doc", "version", F.col("least"), F.filter(ordered, lambda x, i: x == F.get(ordered, i + 1)).alias("twice")).where(F.size("twice") > 0)
-    within = twice.select("doc", "version", F.explode(F.array_intersect("twice", "least")).alias("pick"))
+    picks = shape.select("doc", "version", F.explode("picks").alias("pick"))
+    often = materialize(picks.groupBy("pick").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pick"), "picks")  # a join apart from the groups can be split
+    within = shape.where(F.size("twice") > 0).select("doc", "version", F.explode(F.array_intersect("twice", "picks")).alias("pick"))
     both = picks.join(often, "pick").select("doc", "version", "pick").union(within)
     return both.groupBy("doc", "version").agg(F.collect_set("pick").alias("marks"))
 
 
-def _windows(marked: DataFrame, min_chars: int, bits: int) -> DataFrame:
+def _windows(marked: DataFrame, min_chars: int, bits: int, window: int = 3) -> DataFrame:
     """(key, doc, version, code): windows of ``min_chars`` round the repeated picks, as first line << bits | lines.
 
-    From a pick's windows on, lines are added one way or the other till ``min_chars`` are reached; ``key`` is the hash of
-    the window's line hashes. Where picks times lines are very many, all windows are taken, which costs rows and no result.
+    From each line that is near enough to a repeated pick to lie in a run with it, lines are added one way and the other
+    till ``min_chars`` are reached; ``key`` is the hash of the window's line hashes. Where picks times lines are very many,
+    all windows are taken, which costs rows and no result.
     """
     few = F.size("marks").cast("long") * F.size("h") <= 20_000_000
-    sides = marked.select("doc", "version", "h", "k", "b", F.transform("least", lambda x: x.isNotNull() & (~few | F.array_contains("marks", x))).alias("on"))
+    told = F.when(few, F.transform("h", lambda x: F.array_contains("marks", x))).otherwise(F.array_repeat(F.lit(True), F.size("h")))
+    repeated = marked.select("doc", "version", "h", "m", told.alias("r"))
+    sides = repeated.select("doc", "version", "h", "m", F.transform("r", lambda r, i: r | reduce(lambda a, b: a | b, [F.coalesce(F.get("r", i + d), F.lit(False)) for d in range(1 - window, window) if d])).alias("on"))
 
     def code(first, lines):
         return F.shiftleft(first.cast("long"), bits) + lines
 
-    ahead = F.transform("k", lambda k, i: F.when(F.get("on", i), code(i, k)))
-    back = F.transform("b", lambda b, i: F.when(F.get("on", i + 1 - b), code(i + 1 - b, b)))
-    codes = sides.select("doc", "version", "h", F.array_distinct(F.concat(ahead, back)).alias("codes"))
+    reached = sides.select("doc", "version", "h", F.transform("on", lambda on, i: F.when(on, _reach("m", i, 1, min_chars))).alias("k"), F.transform("on", lambda on, i: F.when(on, _reach("m", i, -1, min_chars))).alias("b"))
+    ahead = F.transform("k", lambda k, i: F.when(k.isNotNull(), code(i, k)))
+    back = F.transform("b", lambda b, i: F.when(b.isNotNull(), code(i + 1 - b, b)))
+    codes = reached.select("doc", "version", "h", F.array_distinct(F.concat(ahead, back)).alias("codes"))
 
     def keyed(c):
         return F.struct(F.xxhash64(F.slice("h", F.shiftright(c, bits).cast("int") + 1, c.bitwiseAND((1 << bits) - 1).cast("int"))).alias("key"), c.alias("code"))
@@ -84,11 +92,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     Earlier is in a document of lower doc_id (of rows that share one, in that of the lower text hash, ``version``), or
     further up in the same text. A run counts its lines' text without blanks at the ends, and one for each line.
 
-    Winnowing picks the line of the least hash in each window of ``min_chars`` from a line on, so two places that share a
-    run of ``min_chars`` share a pick. A pick alone doesn't say which earlier place shares the run, as a common line may
-    stand first in a third document; so the windows round repeated picks, extended both ways to ``min_chars``, are
-    joined by the hash of their lines: each of them is a repeat at every place but its first. Each line of a repeated run
-    lies in such a window within the run, hence no repeat is lost and nothing else goes.
+    Winnowing (``winnow``) picks lines so that two places that share a run share a pick in it. A pick alone doesn't say
+    which earlier place shares the run, as a common line may stand first in a third document; so the windows round
+    repeated picks, extended both ways to ``min_chars``, are joined by the hash of their lines: each of them is a repeat at
+    every place but its first. Each line of a repeated run lies in such a window within the run, hence no repeat is lost
+    and nothing else goes.
     """
     some = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
     base = some.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), lines_of(F.col("text")).alias("lines"))
