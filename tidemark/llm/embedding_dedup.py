@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +14,10 @@ from pyspark.sql.types import StructType
 
 from tidemark.llm.common import connected_components, materialize, read
 
-EDGE = "a long, b long, pass int, border int, side int, label long, vec_id long, unit array<double>"
+KEYED = "pass int, label long, sig long, vec_id long, half binary"
+EDGE = "a long, b long, sure boolean, pass int, border int, side int, label long, vec_id long, half binary"
+#: A half keeps 11 bits: with both sides rounded, and a float sum, a cosine is off by less than this.
+HALF_ERROR = 0.0012
 
 
 def unit_vectors(table: DataFrame) -> DataFrame:
@@ -36,8 +41,10 @@ def _planes(pass_: int, width: int, bits: int) -> np.ndarray:
 
 
 def _window_links(ids, labels, units, window: int, cosine: float):
-    """Stars (a, b) over the sorted rows whose window neighbours are near: each linked row with the first row it hangs on."""
+    """Stars over the sorted rows whose window neighbours are surely near, (a, b): each linked row with the first row it
+    hangs on; and the pairs (a, b) that half precision can't tell."""
     root = np.arange(len(ids))
+    unsure = [np.zeros((0, 2), np.int64)]
 
     def find(i):
         while root[i] != i:
@@ -46,37 +53,60 @@ def _window_links(ids, labels, units, window: int, cosine: float):
         return i
 
     for step in range(1, min(window, len(ids) - 1) + 1):
-        near = np.einsum("ij,ij->i", units[:-step], units[step:]) >= cosine
-        near &= labels[:-step] == labels[step:]
-        for i in np.nonzero(near)[0].tolist():
+        dots = np.einsum("ij,ij->i", units[:-step], units[step:])
+        close = np.nonzero((dots >= cosine - HALF_ERROR) & (labels[:-step] == labels[step:]))[0]
+        for i in close[dots[close] >= cosine + HALF_ERROR].tolist():
             a, b = find(i), find(i + step)
             root[max(a, b)] = min(a, b)
+        at = close[dots[close] < cosine + HALF_ERROR]
+        unsure.append(np.stack([ids[at], ids[at + step]], axis=1))
     top = np.array([find(i) for i in range(len(ids))], np.int64)
     far = top != np.arange(len(ids))
-    return ids[far], ids[top[far]]
+    return (ids[far], ids[top[far]]), np.concatenate(unsure)
+
+
+def passes_needed(classes: DataFrame, cosine: float, window: int, miss: float = 0.02) -> DataFrame:
+    """(label, passes): projection passes after which a pair at ``cosine`` is missed with about the probability ``miss``.
+
+    Two random vectors of a label share a sign with probability q (from the label's mean cosine, that is the squared
+    length of its mean vector), two at ``cosine`` with p. A window holds those that share the first ln(n / window) / ln(1/q)
+    signs of n, so a pass finds the pair with p to that power. The number grows as a low power of n; a quarter is added.
+    """
+    sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sums = classes.select("label", F.posexplode("unit").alias("k", "v")).groupBy("label", "k").agg(F.sum("v").alias("v"))
+    mean = sums.groupBy("label").agg(F.sum(F.col("v") * F.col("v")).alias("sq")).join(sizes, "label").withColumn("c", F.least(F.col("sq") / (F.col("n") * F.col("n")), F.lit(cosine)))
+    same = 1 - F.acos(F.greatest("c", F.lit(0.0))) / math.pi
+    signs = F.ln(F.col("n") / window) / -F.ln(same)
+    hit = F.pow(F.lit(1 - math.acos(cosine) / math.pi), signs)
+    passes = F.ceil(1.25 * math.log(miss) / F.ln(1 - F.least(hit, F.lit(0.999))))
+    return mean.select("label", F.when(F.col("n") <= window + 1, 1).otherwise(F.greatest(passes, F.lit(6))).cast("int").alias("passes"))
 
 
-def projection_links(vectors: DataFrame, cosine: float, passes: int, window: int, bits: int, partitions: int) -> DataFrame:
-    """(a, b): links that join what the passes find.
+def projection_links(vectors: DataFrame, cosine: float, window: int, bits: int, partitions: int) -> DataFrame:
+    """(a, b): links that join what the passes find; ``vectors`` holds each one's number of ``passes``.
 
     In each pass the vectors of a label are ordered by their concatenated sign hashes, and each is compared with
-    ``window`` followers; where a partition ends, its last rows meet the first of the next one.
+    ``window`` followers; where a partition ends, its last rows meet the first of the next one. Vectors are sorted in half
+    precision; the pairs that it can't tell are looked at again as they are.
     """
-    out = to_arrow_schema(StructType.fromDDL("pass int, label long, sig long, vec_id long, unit array<double>"))
+    out = to_arrow_schema(StructType.fromDDL(KEYED))
 
     def sign(batches):
         for b in batches:
-            units = [np.asarray(x.as_py(), float) for x in b.column(2)]
-            ids, labels = b.column(0), b.column(1)
-            for k in range(passes):
+            units = [np.asarray(x.as_py(), float) for x in b.column("unit")]
+            ids, labels, passes = (b.column(c).to_numpy() for c in ("vec_id", "label", "passes"))
+            halves = [u.astype(np.float16).tobytes() for u in units]
+            width = np.array([len(u) for u in units])
+            for k in range(int(passes.max(initial=0))):
+                on = np.nonzero(passes > k)[0]
                 sigs = np.zeros(len(units), np.int64)
-                for width in {len(u) for u in units}:
-                    rows = [i for i, u in enumerate(units) if len(u) == width]
-                    on = np.stack([units[i] for i in rows]) @ _planes(k, width, bits) > 0
-                    sigs[rows] = on @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), k, np.int32)), labels, pa.array(sigs), ids, b.column(2)], schema=out)
+                for w in set(width[on].tolist()):
+                    rows = on[width[on] == w]
+                    signs = np.stack([units[i] for i in rows]) @ _planes(k, w, bits) > 0
+                    sigs[rows] = signs @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), k, np.int32)), pa.array(labels[on]), pa.array(sigs[on]), pa.array(ids[on]), pa.array([halves[i] for i in on], pa.binary())], schema=out)
 
-    keyed = vectors.select("vec_id", "label", "unit").mapInArrow(sign, "pass int, label long, sig long, vec_id long, unit array<double>")
+    keyed = vectors.select("vec_id", "label", "unit", "passes").mapInArrow(sign, KEYED)
     dealt = keyed.repartitionByRange(partitions, "pass", "label", "sig", "vec_id").sortWithinPartitions("pass", "label", "sig", "vec_id")
     dealt = dealt.withColumn("part", F.spark_partition_id())
 
@@ -95,23 +125,30 @@ def projection_links(vectors: DataFrame, cosine: float, passes: int, window: int
             tail = rows.iloc[-window:]
         for side, rows in ((0, tail), (1, head)):
             if rows is not None:
-                yield pd.DataFrame({"a": None, "b": None, "pass": rows["pass"], "border": part + 1 - side, "side": side, "label": rows["label"], "vec_id": rows["vec_id"], "unit": rows["unit"]})
+                yield pd.DataFrame({"a": None, "b": None, "sure": None, "pass": rows["pass"], "border": part + 1 - side, "side": side, "label": rows["label"], "vec_id": rows["vec_id"], "half": rows["half"]})
 
     def linked(rows):
-        for _, group in rows.groupby(rows["unit"].map(len), sort=False):
+        for _, group in rows.groupby(rows["half"].map(len), sort=False):
             keys = group["pass"].to_numpy(np.int64) * 2**32 + pd.factorize(group["label"])[0]
-            a, b = _window_links(group["vec_id"].to_numpy(), keys, _matrix(group["unit"]), window, cosine)
-            yield pd.DataFrame({"a": a, "b": b, "pass": None, "border": None, "side": None, "label": None, "vec_id": None, "unit": None})
+            units = np.stack([np.frombuffer(h, np.float16) for h in group["half"]]).astype(np.float32)
+            (a, b), unsure = _window_links(group["vec_id"].to_numpy(), keys, units, window, cosine)
+            sure = np.arange(len(a) + len(unsure)) < len(a)
+            yield pd.DataFrame({"a": np.concatenate([a, unsure[:, 0]]), "b": np.concatenate([b, unsure[:, 1]]), "sure": sure, "pass": None, "border": None, "side": None, "label": None, "vec_id": None, "half": None})
 
     found = materialize(dealt.mapInPandas(compare, EDGE), "passes")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("side", kind="stable")
-        return pd.concat([x[["a", "b"]] for x in linked(rows)])
+        return pd.concat([x[["a", "b", "sure"]] for x in linked(rows)])
 
-    borders = found.where("side is not null").select("pass", "border", "side", "label", "vec_id", "unit")
+    borders = found.where("side is not null").select("pass", "border", "side", "label", "vec_id", "half")
     both = borders.join(borders.groupBy("border").agg(F.max("side").alias("hi"), F.min("side").alias("lo")).where("hi > lo").select("border"), "border", "left_semi")
-    return found.where("a is not null").select("a", "b").union(both.groupBy("border").applyInPandas(meet, "a long, b long"))
+    edges = materialize(found.where("a is not null").select("a", "b", "sure").union(both.groupBy("border").applyInPandas(meet, "a long, b long, sure boolean")), "near")
+    own = vectors.select(F.col("vec_id"), "unit")
+    unsure = edges.where(~F.col("sure")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = unsure.join(own.select(F.col("vec_id").alias("a"), F.col("unit").alias("x")), "a").join(own.select(F.col("vec_id").alias("b"), F.col("unit").alias("y")), "b")
+    dot = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return edges.where("sure").select("a", "b").union(pairs.where(dot >= cosine).select("a", "b"))
 
 
 def count_links(members: DataFrame, cosine: float, block: int = 512) -> DataFrame:
@@ -150,17 +187,19 @@ def count_links(members: DataFrame, cosine: float, block: int = 512) -> DataFram
     return sure.union(checked).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
-def near_duplicate_vectors(table: DataFrame, cosine: float = 0.93, passes: int = 16, window: int = 24, bits: int = 48) -> DataFrame:
+def near_duplicate_vectors(table: DataFrame, cosine: float = 0.93, window: int = 24, bits: int = 48) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``table`` (vec_id, embedding, label).
 
-    Equal vectors of a label are one class while the passes run, and counted again at the end. Ties in the order go by
+    A label's number of passes follows from its classes (``passes_needed``). Vectors that are null, empty, zero or hold a
+    null or non-finite component, and rows with a null label or a null vec_id, link with nothing. Equal vectors of a label are one class while the passes run, and counted again at the end. Ties in the order go by
     vec_id. Repeated rows of one vec_id come back as often as they are, linked as one vector. No rows, no rows.
     """
     spark = table.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     vectors = materialize(unit_vectors(table).groupBy("vec_id", "label").agg(F.first("unit").alias("unit")), "vectors")
     classes = materialize(vectors.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    edges = projection_links(classes.select(F.col("rep").alias("vec_id"), "label", "unit"), cosine, passes, window, bits, partitions)
+    dealt = classes.join(passes_needed(classes, cosine, window), "label")
+    edges = projection_links(dealt.select(F.col("rep").alias("vec_id"), "label", "unit", "passes"), cosine, window, bits, partitions)
     joined = materialize(connected_components(edges), "components")
     # within components, and among copies, each copy is a vector of its own
     held = classes.join(joined, classes["rep"] == joined["id"], "left").where("component is not null or copies > 1").select("label", "unit", F.coalesce("component", "rep").alias("component"))
