@@ -42,3 +42,36 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p, k = hits / n, F.lit(z * z) / n
     mid, half = (p + k / 2) / (1 + k), F.sqrt(p * (1 - p) / n + k / (4 * n)) * z / (1 + k)
     return mid - half, mid + half
+
+
+def taxed_yield(y: Column, vat: Column, income_tax: Column) -> Column:
+    """The yield that a taxed bond must pay to leave what an exempt one leaves."""
+    return y * (1 + vat) / (1 - income_tax)
+
+
+def net_yield(y: Column, tax: Column) -> Column:
+    return y / (1 + tax)
+
+
+def probability_below(level: Column, forward: Column, vol: Column, years: Column) -> Column:
+    """P(price < level) at expiry under a lognormal price with that forward; at or past expiry 1 or 0."""
+    spread = vol * F.sqrt(years)
+    d2 = F.ln(forward / level) / spread - spread / 2
+    return F.when(years > 0, normal_cdf(-d2)).otherwise((forward < level).cast("double"))
+
+
+def implied_volatility(price: Column, forward: Column, strike: Column, years: Column, low: float = 1e-4, high: float = 3.0, steps: int = 60) -> Column:
+    """Volatility at which ``black_put`` has the price, by halving [low, high]; null outside what that range can give."""
+
+    def value(vol):
+        return black_put(forward, strike, vol, years)["price"]
+
+    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+
+    def halve(s, _):
+        mid = (s["lo"] + s["hi"]) / 2
+        over = value(mid) > price
+        return F.struct(F.when(over, s["lo"]).otherwise(mid).alias("lo"), F.when(over, mid).otherwise(s["hi"]).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    return F.when((years > 0) & (price >= value(F.lit(low))) & (price <= value(F.lit(high))), found)
