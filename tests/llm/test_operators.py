@@ -73,6 +73,35 @@ def test_simhash_links(spark, odd, none):
     assert pairs == {(i, j) for i, j in zip(*np.nonzero(near)) if i < j}
 
 
+def test_simhash_fingerprint_from_its_definition():
+    import re
+
+    import xxhash
+
+    rng = random.Random(21)
+    for text in [*(t or "" for t in ODD[:-1]), *(" ".join(rng.choice(["Ab", "cD", "é", "x\u00a0y"]) for _ in range(rng.randint(0, 30))) for _ in range(60))]:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+        assert simhash.fingerprint(text) == want
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (None, "a b c d"), (3, "a b c d"), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == [(1, 1), (3, 1), (None, None), (None, None)]
+    assert sorted((r["doc_id"] for r in simhash.stage(spark, docs, "").collect()), key=str) == [1, None, None]
+    rows = imatch.compare_with_edit(docs, {}, 2).collect()
+    assert sorted((r["doc_id"] for r in rows), key=str) == [1, 3, None, None] and all((r["near_next"] is None) == (r["doc_id"] is None) for r in rows)
+    pages = spark.createDataFrame([(None, "http://a.b/", "x" * 200), (4, "http://a.b/", "x" * 200), (None, None, None)], "page_id long, url string, html string")
+    path = warc.scratch_path(spark, "warc")
+    warc.write_archives(pages, path)
+    found = warc.merged_index(path, spark).collect()
+    assert sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"]) for r in found) == [(0, 0, "response"), (0, 200, "response"), (4, 200, "response")]
+
+
 def test_bpe_is_tiktoken(odd, none):
     enc = encoding("byte_bpe_multi_50k.tiktoken")
     for r in bpe.round_trip(odd, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect():

@@ -139,7 +139,8 @@ def compare_with_edit(docs: DataFrame, kept: dict[str, int], partitions: int | N
     """Each document's fingerprint, that of its edited text, and their likeness; see ``edited`` and ``likeness``.
 
     Texts are shuffled once, by ranges of doc_id, and streamed in order; a task holds one batch. One document alone is
-    its own next one.
+    its own next one; of rows that share a doc_id the text decides the order. Rows without a doc_id have no place in the
+    order: they come back with their fingerprint alone. No rows, no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -164,9 +165,14 @@ def compare_with_edit(docs: DataFrame, kept: dict[str, int], partitions: int | N
             yield dict(zip(names, map(list, zip(*rows, strict=True)) if rows else [[] for _ in names], strict=True))
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_batches(with_next(texts(docs), partitions), run, schema)
+    own = texts(docs)
+    compared = map_batches(with_next(own.where("doc_id is not null"), partitions), run, schema)
+    rest = own.where("doc_id is null")
+    alone = map_batches(rest, lambda batches: ({"doc_id": b["doc_id"], "n_chars": [len(t) for t in b["text"]], "fingerprint": [written(signature(t, kept)) for t in b["text"]]} | {n: [None] * len(b["text"]) for n in ("edited_sha256", "edited_fingerprint", "near_edited", "near_next")} for b in batches), schema)
+    return compared.union(alone)
 
 
 def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint, that of its edited text and both likenesses; see ``compare_with_edit``."""
     docs = read(spark, sf_dir, "documents")
     return compare_with_edit(docs, lexicon(docs))

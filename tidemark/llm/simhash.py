@@ -140,21 +140,27 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     """(doc_id, fp, component_id): documents whose fingerprints link at ``radius`` or fewer bits, directly or by a chain.
 
     component_id is the smallest doc_id reachable. Null and empty texts have fingerprint 0 and link like any other. Equal
-    fingerprints are one class, told apart again at the end; repeated rows come back as often as they are. No rows, no rows.
+    fingerprints are one class, told apart again at the end; repeated rows come back as often as they are. Rows without a
+    doc_id have a fingerprint, link with nothing and have no component. No rows, no rows.
     """
     fps = materialize(fingerprints(docs, width), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
+    classes = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     joined = link_components(classes, radius)
     labelled = classes.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    found = fps.join(labelled, "fp", "left")
+    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; see ``near_duplicates``."""
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document (the smallest doc_id) of each group stays; see ``near_duplicates``.
+
+    Rows that share the doc_id that stays all stay, as do rows without a doc_id. No rows, no rows.
+    """
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti").select(*docs.columns)

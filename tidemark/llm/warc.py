@@ -51,7 +51,7 @@ def _safe(c: Column) -> Column:
 
 def records(pages: DataFrame, epoch: int = 1_700_000_000) -> DataFrame:
     """One WARC record a row, without the blank lines that end it. A page without a capture time gets ``epoch`` plus its id in seconds."""
-    day = F.date_format(F.timestamp_seconds(F.lit(epoch) + F.pmod("page_id", F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    day = F.date_format(F.timestamp_seconds(F.lit(epoch) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -59,7 +59,7 @@ def records(pages: DataFrame, epoch: int = 1_700_000_000) -> DataFrame:
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), _safe(F.col("url"))),
         F.concat(F.lit("WARC-Date: "), day),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
@@ -72,12 +72,12 @@ def records(pages: DataFrame, epoch: int = 1_700_000_000) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = 8_000_000) -> None:
-    """Write ``pages`` as gzipped WARC files of about ``file_bytes`` before compression under ``path``.
+    """Write ``pages`` as gzipped WARC files of about ``file_bytes``, and at most 1.5 GB, before compression under ``path``.
 
     A record's own end, two empty lines, separates them. A file is one gzip member, so it is read as a whole.
     """
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 1.0
-    rows = max(1, min(1_000_000, int(file_bytes / (mean + 600))))
+    mean, most = pages.agg(F.avg(F.octet_length("html")), F.max(F.octet_length("html"))).first()
+    rows = max(1, min(1_000_000, int(file_bytes / ((mean or 1) + 600)), int(1.5e9 / ((most or 1) + 600))))  # under what binaryFile reads, whatever stands together
     records(classified(pages)).write.option("lineSep", END).option("maxRecordsPerFile", rows).option("compression", "gzip").text(path)
 
 
@@ -97,7 +97,13 @@ def parse_archive(content: bytes):
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn.strip("<>").rsplit(":", 1)[1]) if urn else None
+    text = urn.strip("<>").rsplit(":", 1)[1] if urn else ""
+    return int(text) if text else None
+
+
+def _order(url_key: str, captured_at: str, page_id: int | None) -> tuple:
+    """Sort key of a capture; one without a page_id comes first among its equals."""
+    return (url_key, captured_at, -(2**63) if page_id is None else page_id)
 
 
 def captures(content: bytes) -> list[tuple]:
@@ -112,7 +118,7 @@ def captures(content: bytes) -> list[tuple]:
         if kind == "response" and (size != len(raw) - http_end or hashlib.sha256(raw[http_end:]).hexdigest() != digest):
             raise ValueError(f"payload of {headers['warc-record-id']} doesn't agree with its headers")
         run.append((url_key(headers.get("warc-target-uri")), headers["warc-date"], _page(headers["warc-record-id"]), size, digest, kind, _page(headers.get("warc-refers-to"))))
-    return sorted(run, key=lambda x: x[:3])
+    return sorted(run, key=lambda x: _order(*x[:3]))
 
 
 class LoserTree:
@@ -157,8 +163,8 @@ def merged_index(path: str, spark: SparkSession, range_rows: int = 20_000, sampl
     """Capture histories of the archives under ``path``: rows of CAPTURE with ``range`` and ``position``.
 
     (range, position) is the global order by (url_key, captured_at, page_id). Each file is one run, sorted where it is
-    read and cut at the range borders; a range's pieces are merged by a loser tree. Borders are keys of a bounded sample
-    of rows and steer balance only; they are whole keys, so that one host or URL spreads over ranges. No file, no rows.
+    read and cut at the range borders; a range's pieces are merged by a loser tree. Borders are keys of a sample of rows, two
+    a range of ``range_rows`` captures and ``sample`` at least, and steer balance only; they are whole keys, so that one host or URL spreads over ranges. No file, no rows.
     """
     names = ("url_key", "captured_at", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     entry = "struct<url_key:string,captured_at:string,page_id:long,payload_bytes:long,payload_digest:string,record_type:string,refers_to:long>"
@@ -171,15 +177,16 @@ def merged_index(path: str, spark: SparkSession, range_rows: int = 20_000, sampl
     runs = materialize(map_batches(files, read_runs, f"run array<{entry}>"), "runs")
     total = runs.agg(F.sum(F.size("run"))).first()[0] or 0
     keys = runs.select(F.explode("run").alias("r")).select("r.url_key", "r.captured_at", "r.page_id")
-    found = sorted(tuple(r) for r in keys.where(F.rand(5) < 2 * sample / max(1, total)).limit(sample).collect())
     ranges = max(12, math.ceil(total / range_rows))
+    sample = max(sample, 2 * ranges)
+    found = sorted(_order(*r) for r in keys.where(F.rand(5) < 2 * sample / max(1, total)).limit(sample).collect())
     borders = sorted({found[int(x)] for x in np.linspace(0, len(found), ranges + 1)[1:-1]}) if found else []
 
     def cut(batches):
         for b in batches:
             out = []
             for run in b["run"]:
-                own = [(r["url_key"], r["captured_at"], r["page_id"]) for r in run]
+                own = [_order(r["url_key"], r["captured_at"], r["page_id"]) for r in run]
                 ends = [0, *(bisect.bisect_left(own, border) for border in borders), len(run)]
                 out += [(k, run[a:z]) for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if a < z]
             yield {"range": [k for k, _ in out], "run": [piece for _, piece in out]}
@@ -198,7 +205,7 @@ def merged_index(path: str, spark: SparkSession, range_rows: int = 20_000, sampl
 
     def done(pending):
         for k, runs in pending.items():
-            tree = LoserTree(runs, key=lambda r: (r["url_key"], r["captured_at"], r["page_id"]))
+            tree = LoserTree(runs, key=lambda r: _order(r["url_key"], r["captured_at"], r["page_id"]))
             rows = list(tree)
             yield {"range": [k] * len(rows), "position": list(range(len(rows)))} | {n: [r[n] for r in rows] for n in names}
 
@@ -207,10 +214,15 @@ def merged_index(path: str, spark: SparkSession, range_rows: int = 20_000, sampl
 
 
 def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write, read back and merge all pages; (key_range, position) is the global order by URL key, time and page_id.
+
+    A null html is an empty payload, a null url the empty key; rows equal in page_id are captures of their own; a row
+    without a page_id is a response. No rows, no rows.
+    """
     path = scratch_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     index = merged_index(path, spark)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", F.col("range").cast("long").alias("key_range"), "position")
 
 
 OP2_SQL = """
