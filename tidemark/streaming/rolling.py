@@ -48,7 +48,11 @@ def replay(stream: DataFrame, name: str, checkpoint: str | None = None, sink: st
     """Run ``stream`` over what its source holds now, append to ``sink`` and read that. With the same ``checkpoint`` and
     ``sink`` a later run goes on where this one ended and repeats nothing."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-shared-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-shared-")
     base = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     sink = sink or f"{base}/rows"
     job = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint or f"{base}/state").outputMode("append").trigger(availableNow=True).start()
