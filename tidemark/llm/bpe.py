@@ -176,6 +176,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, as digests. A null text is empty and has no ids; repeated rows and rows
+    without a doc_id come back each; no rows, no rows."""
     import public_tokenizers as p
 
     return round_trip(read(spark, sf_dir, "documents"), p.path("byte_bpe_multi_50k.tiktoken"), p.PATTERN)

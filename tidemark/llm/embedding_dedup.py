@@ -212,4 +212,5 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.93, window: int =
 
 
 def op6_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every vector; see ``near_duplicate_vectors``."""
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))

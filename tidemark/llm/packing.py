@@ -218,12 +218,14 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, eos: int =
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of every document, with its place; see ``pieces`` and ``pack``. Rows without a doc_id are packed too."""
     import public_tokenizers as p
 
     return pack_documents(read(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents packed: one row per piece. Null texts are empty, repeated rows are packed each; no rows, no rows."""
     import public_tokenizers as p
 
     return pack_documents(docs, p.path("byte_bpe_50k.json"))

@@ -158,6 +158,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document. Null and empty texts are scored like any other; repeated rows
+    and rows without a doc_id each; of labels that share a doc_id the highest counts. No rows, no rows."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out("doc_id", 5, 0)))
     scored = score(docs, model)
@@ -165,7 +167,8 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3 go."""
+    """Documents that score under 0.3 go; the others keep all their columns. Null and empty texts are scored like any other,
+    repeated rows each; no rows, no rows."""
     model = train(docs, read(spark, sf_dir, "labels"))
     own = docs.columns
 

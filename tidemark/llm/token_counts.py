@@ -186,6 +186,7 @@ def standard_edits(docs: DataFrame) -> DataFrame:
 
 
 def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after ``standard_edits``; see ``count_with_edits``."""
     import public_tokenizers as p
 
     docs = standard_edits(read(spark, sf_dir, "documents"))

@@ -311,6 +311,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_toxicity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) of every document; see ``train`` and ``score``."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out("doc_id", 3, 1)))
     scored = score(docs, model)
