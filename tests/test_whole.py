@@ -17,12 +17,13 @@ def test_digest_sees_a_late_change(spark, tmp_path):
     found = []
     for name, table in (("a", both), ("b", changed)):
         table.write.parquet(f"{tmp_path}/{name}/orders.parquet")
-        found.append({r["o_orderstatus"]: r["digest"] for r in registry.QUERIES["digest_whole"](spark, f"{tmp_path}/{name}").collect()})
+        found.append({r["o_orderstatus"]: r["digest"] for r in registry.QUERIES["digest"](spark, f"{tmp_path}/{name}").collect()})
     assert {s for s in found[0] if found[0][s] != found[1][s]} == {status}
 
 
 def test_circular_shift_takes_every_shift(spark):
     some = {r["yr"]: r for r in registry.QUERIES["circular_shift_p"](spark, SF).collect()}
     every = registry.QUERIES["circular_shift_rank_p"](spark, SF).collect()
-    assert every and all(r["shifts"] > 6 * some[r["yr"]]["shifts"] for r in every if some[r["yr"]]["shifts"] > 6)
+    assert every and all(r["shifts"] == some[r["yr"]]["shifts"] + 1 for r in every)  # the one counts the shift by 0 too
+    assert max(r["shifts"] for r in every) > 200
     assert all(r["p"] is None or 1 / r["shifts"] <= r["p"] <= 1 for r in every)
