@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, materialize, read, small_batches, texts
 
 
-@lru_cache(maxsize=2)
-def token_ids(path: str):
+@lru_cache(maxsize=4)
+def token_ids(path: str, special: bool = True):
     """A function from texts to lists of ids, as the tokenizer file at ``path`` gives without special tokens added.
 
-    A plain byte-level BPE file (split by the usual pattern, nothing normalised) is read into the quicker of the two
-    installed libraries, which gives the same ids; any other file goes to its own library.
+    Special tokens' strings within a text are those tokens, or without ``special`` plain text. A plain byte-level BPE file
+    (split by the usual pattern, nothing normalised) is read into the quicker of the two installed libraries, which gives
+    the same ids; any other file goes to its own library.
     """
     import json
 
@@ -27,9 +28,10 @@ def token_ids(path: str):
         spec = json.load(f)
     split, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
     plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-    plain = plain and model["type"] == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word"))
+    plain = plain and model["type"] == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word")) and all(t["special"] for t in added)
     if not plain:
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = not special
         return lambda many: [x.ids for x in tokenizer.encode_batch_fast(many, add_special_tokens=False)]
 
     import tiktoken
@@ -37,10 +39,12 @@ def token_ids(path: str):
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that such files write as themselves
     hidden = [b for b in range(256) if b not in shown]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    special = {t["content"]: t["id"] for t in added}
-    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    named = {t["content"]: t["id"] for t in added}
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in named}
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-    encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=named)
+    if not special:
+        return lambda many: [encoding.encode_ordinary(t) for t in many]
     return lambda many: [encoding.encode(t, allowed_special="all") for t in many]
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.alignment import op11_cross_tokenizer_alignment
 from tidemark.llm.bpe import op7_byte_bpe
+from tidemark.llm.collocations import OP12_SQL, op12_phrase_collocations
 from tidemark.llm.embedding_dedup import op6_projection_passes
 from tidemark.llm.imatch import op9_imatch_fingerprints
 from tidemark.llm.line_dedup import op5_line_dedup
+from tidemark.llm.mixing import OP13_SQL, op13_source_mixing
 from tidemark.llm.packing import op8_best_fit_packing
 from tidemark.llm.quality import op1_bradley_terry_quality
 from tidemark.llm.simhash import op3_simhash_near_dedup
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_imatch_fingerprints": op9_imatch_fingerprints,
     "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_source_mixing": op13_source_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc_index_merge": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc_index_merge": OP2_SQL, "op12_phrase_collocations": OP12_SQL, "op13_source_mixing": OP13_SQL}
