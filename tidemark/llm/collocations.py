@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import count
 
 import numpy as np
@@ -29,8 +29,9 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(FOLD).replace(b"\xff", b" \xff ").split()
 
 
-def word_bitmaps(docs: DataFrame, shard_words: int = 2_000_000) -> DataFrame:
-    """Rows of SHARD: about ``shard_words`` positions of one language's texts, under the distinct words that stand there.
+def word_bitmaps(docs: DataFrame, shard_words: int = 3_000_000) -> DataFrame:
+    """Rows of SHARD: positions of one language's texts, under the distinct words that stand there. A task holds at most
+    about ``shard_words`` positions; when it does, the language with the most of them is written.
 
     A word's bitmap is kept as the gaps between its set bits. Words of a piece stand side by side; between pieces lies a
     free position, so that no shift crosses it. A null lang is ``und``; a null text has no words.
@@ -42,40 +43,34 @@ def word_bitmaps(docs: DataFrame, shard_words: int = 2_000_000) -> DataFrame:
         number = (task.partitionId() << 24) if task else 0
         numbers: dict = defaultdict(lambda: defaultdict(count().__next__))
         held: dict[str, list[np.ndarray]] = defaultdict(list)
-        size = 0
+        sizes: Counter = Counter()
 
-        def shards():
+        def shard(lang):
             nonlocal number
-            for lang, parts in held.items():
-                ids = np.concatenate(parts)
-                words = list(numbers[lang])
-                order = np.argsort(ids, kind="stable")
-                gaps = np.diff(order, prepend=0)
-                counts = np.bincount(ids, minlength=len(words))
-                begun = np.cumsum(counts) - counts
-                gaps[begun] = order[begun]
-                sep = numbers[lang][b"\xff"]
-                kept = np.arange(len(words)) != sep
-                data = gaps[np.repeat(kept, counts)].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                values = [number, lang, [w.decode() for w, k in zip(words, kept, strict=True) if k], counts[kept].astype(np.int32), zstandard.ZstdCompressor(level=3).compress(data)]
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for f, v in zip(out, values, strict=True)], schema=out)
-            held.clear()
-            numbers.clear()
+            ids, words = np.concatenate(held.pop(lang)), list(numbers.pop(lang))
+            del sizes[lang]
+            order = np.argsort(ids, kind="stable")
+            gaps = np.diff(order, prepend=0)
+            counts = np.bincount(ids, minlength=len(words))
+            begun = np.cumsum(counts) - counts
+            gaps[begun] = order[begun]
+            data = gaps[counts[0] :].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # the mark between pieces has number 0
+            values = [number, lang, [w.decode() for w in words[1:]], counts[1:].astype(np.int32), zstandard.ZstdCompressor(level=3).compress(data)]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for f, v in zip(out, values, strict=True)], schema=out)
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 number_of = numbers[lang]
-                number_of[b"\xff"]  # the mark has a number in every shard
+                number_of[b"\xff"]
                 found = tokens(text)
                 found.append(b"\xff")
-                ids = np.fromiter(map(number_of.__getitem__, found), np.int64, len(found))
-                held[lang].append(ids)
-                size += len(ids)
-                if size >= shard_words:
-                    yield from shards()
-                    size = 0
-        yield from shards()
+                held[lang].append(np.fromiter(map(number_of.__getitem__, found), np.int32, len(found)))
+                sizes[lang] += len(found)
+                if sizes.total() >= shard_words:
+                    yield shard(max(sizes, key=sizes.get))
+        for lang in list(held):
+            yield shard(lang)
 
     small_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -87,17 +82,18 @@ class Bitmaps:
 
     def __init__(self, counts: np.ndarray, gaps: bytes, kept: np.ndarray):
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(gaps), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-        word, begun = np.repeat(np.arange(len(counts)), counts), np.repeat(np.cumsum(counts) - counts, counts)
-        before = np.cumsum(data) - data
-        place = before + data - before[begun]
-        use = kept[word]
+        upto = np.cumsum(data)
+        begun = (np.cumsum(counts) - counts)[counts > 0]
+        place = (upto - np.repeat(upto[begun] - data[begun], counts[counts > 0])).astype(np.int32)
+        word = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         self.blocks = int(place.max(initial=0)) // BITS + 2
-        self.word, self.block, self.bits = _merged(word[use], place[use] // BITS, np.int64(1) << (place[use] % BITS))
+        word, place = word[kept[word]], place[kept[word]]
+        self.word, self.block, self.bits = _merged(word, place // BITS, np.int32(1) << (place % BITS))
         self.start = np.searchsorted(self.block, np.arange(self.blocks + 1))
 
     def of(self, words: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries (prefix, block, bits) of single words, the prefix being the place in ``words``."""
-        place = np.full(top, -1)
+        place = np.full(top, -1, np.int32)
         place[words] = np.arange(len(words))
         at = np.nonzero(place[self.word] >= 0)[0]
         return place[self.word[at]], self.block[at], self.bits[at]
@@ -105,14 +101,14 @@ class Bitmaps:
 
 def _merged(word, block, bits):
     """Entries sorted by (block, word), the bits of equal ones together."""
-    key = block * (int(word.max(initial=0)) + 1) + word
+    key = block.astype(np.int64) * (int(word.max(initial=0)) + 1) + word
     order = np.argsort(key, kind="stable")
-    key, word, block, bits = key[order], word[order], block[order], bits[order]
-    first = np.nonzero(np.diff(key, prepend=-1))[0]
+    word, block, bits = word[order], block[order], bits[order]
+    first = np.nonzero(np.diff(key[order], prepend=-1))[0]
     return word[first], block[first], np.bitwise_or.reduceat(bits, first) if len(first) else bits
 
 
-def extended(maps: Bitmaps, entries, last: np.ndarray, allowed: np.ndarray | None, top: int, chunk: int = 1_000_000):
+def extended(maps: Bitmaps, entries, last: np.ndarray, allowed: np.ndarray | None, top: int, chunk: int = 500_000):
     """All extensions of prefixes by one word: (prefix, word, times, entries of the longer phrases).
 
     The prefixes' bitmaps are shifted by one position, the bit that leaves a block going to the next, and meet by AND the
@@ -136,16 +132,16 @@ def extended(maps: Bitmaps, entries, last: np.ndarray, allowed: np.ndarray | Non
         hit = np.nonzero(both)[0]
         mine, other, both = mine[hit], other[hit], both[hit]
         if allowed is not None:
-            pair = last[prefix[mine]] * top + maps.word[other]
+            pair = last[prefix[mine]].astype(np.int64) * top + maps.word[other]
             slot = np.minimum(np.searchsorted(allowed, pair), len(allowed) - 1)
             good = allowed[slot] == pair
             mine, other, both = mine[good], other[good], both[good]
-        found.append((prefix[mine] * top + maps.word[other], block[mine], both))
+        found.append((prefix[mine].astype(np.int64) * top + maps.word[other], block[mine], both))
         at = upto
     key, block, bits = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3))
     phrases, number = np.unique(key, return_inverse=True)
     times = np.bincount(number, np.bitwise_count(bits), len(phrases)).astype(np.int64)
-    return phrases // top, phrases % top, times, (number, block, bits)
+    return phrases // top, phrases % top, times, (number.astype(np.int32), block, bits)
 
 
 def _batches(words: np.ndarray, counts: np.ndarray, most: int = 250_000):
@@ -154,27 +150,32 @@ def _batches(words: np.ndarray, counts: np.ndarray, most: int = 250_000):
     return np.split(words, np.nonzero(np.diff(upto))[0] + 1) if len(words) else []
 
 
+def _ids(row_counts: list[int], held: list | None) -> np.ndarray:
+    """The global id of each word of a shard, -1 where it has none."""
+    ids = np.full(len(row_counts), -1)
+    if held:
+        ids[[x["place"] for x in held]] = [x["id"] for x in held]
+    return ids
+
+
 def pair_counts(joined: DataFrame) -> DataFrame:
-    """(shard, places, a, b, n): how often word b follows a in the shard, of the words that are in ``ids`` (place, id)."""
+    """(shard, pair, n): how often one word follows another in the shard, of the words that are in ``ids`` (place, id); the
+    pair is the first id, shifted by 32 bits, and the second."""
 
     def run(batches):
         for b in batches:
             for row in range(len(b["shard"])):
-                counts = np.array(b["counts"][row], np.int64)
-                top = len(counts)
-                ids = np.full(top, -1)
-                held = b["ids"][row] or []
-                ids[[x["place"] for x in held]] = [x["id"] for x in held]
-                maps = Bitmaps(counts, b["gaps"][row], ids >= 0)
+                counts, ids = np.array(b["counts"][row], np.int64), _ids(b["counts"][row], b["ids"][row])
+                maps, top = Bitmaps(counts, b["gaps"][row], ids >= 0), len(counts)
                 for words in _batches(np.nonzero(ids >= 0)[0], counts):
                     p, w, n, _ = extended(maps, maps.of(words, top), words, None, top)
-                    yield {"shard": [b["shard"][row]] * len(p), "places": words[p] << 32 | w, "a": ids[words[p]], "b": ids[w], "n": n}
+                    yield {"shard": [b["shard"][row]] * len(p), "pair": ids[words[p]] << 32 | ids[w], "n": n}
 
-    return map_batches(joined, run, "shard long, places long, a long, b long, n long")
+    return map_batches(joined, run, "shard long, pair long, n long")
 
 
 def longer_counts(joined: DataFrame, longest: int) -> DataFrame:
-    """(phrase, n): the phrases of 3 to ``longest`` words in a shard all of whose neighbours are in ``pairs`` (places, a, b).
+    """(phrase, n): the phrases of 3 to ``longest`` words in a shard all of whose neighbours are in its ``pairs``.
 
     Each batch of first words is followed to its longest phrases before the next one begins.
     """
@@ -182,16 +183,13 @@ def longer_counts(joined: DataFrame, longest: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for row in range(len(b["shard"])):
-                held = b["pairs"][row]
-                if not held:
-                    continue
-                counts = np.array(b["counts"][row], np.int64)
-                top = len(counts)
-                places = np.array([x["places"] for x in held])
-                first, second = places >> 32, places & 0xFFFFFFFF
-                ids = np.full(top, -1)
-                ids[first], ids[second] = [x["a"] for x in held], [x["b"] for x in held]
-                maps, allowed = Bitmaps(counts, b["gaps"][row], ids >= 0), np.sort(first * top + second)
+                pairs = np.array(b["pairs"][row], np.int64)
+                counts, ids = np.array(b["counts"][row], np.int64), _ids(b["counts"][row], b["ids"][row])
+                order, top = np.argsort(ids), len(counts)
+                first, second = (order[np.searchsorted(ids, x, sorter=order)] for x in (pairs >> 32, pairs & 0xFFFFFFFF))
+                kept = np.zeros(top, bool)
+                kept[first], kept[second] = True, True
+                maps, allowed = Bitmaps(counts, b["gaps"][row], kept), np.sort(first * top + second)
                 for words in _batches(np.unique(first), counts):
                     phrases, entries = words[:, None], maps.of(words, top)
                     while phrases.shape[1] < longest and len(phrases):
@@ -200,7 +198,7 @@ def longer_counts(joined: DataFrame, longest: int) -> DataFrame:
                         if phrases.shape[1] > 2:
                             yield {"phrase": ids[phrases].tolist(), "n": n}
 
-    return map_batches(joined, run, "phrase array<long>, n long")
+    return map_batches(joined, run, "phrase array<int>, n long")
 
 
 def frequent_words(shards: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -208,11 +206,23 @@ def frequent_words(shards: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
     held = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("shard", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     total = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, v: s + v)).alias("n"))
     kept = held.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    words = materialize(kept.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "a"), "words")
+    words = numbered(materialize(kept.select(F.monotonically_increasing_id().alias("row"), "lang", "word", "a"), "words"))
     return total, words, held.select("shard", "lang", "place", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "place", "id")
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, shard_words: int = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def numbered(words: DataFrame) -> DataFrame:
+    """``words`` with ``id`` from 0, gapless, in place of ``row``, whose upper bits are a partition's number: the driver adds up a
+    count a partition. Ids take 31 bits, so that two of them are one long."""
+    part = F.shiftright("row", 33)
+    counts = sorted((r["part"], r["n"]) for r in words.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    if before[-1] >= 2**31:
+        raise ValueError("more than 2^31 frequent words; raise the least frequency")
+    offsets = F.create_map(*[F.lit(x) for (p, _), b in zip(counts, before, strict=False) for x in (p, b)]) if counts else F.create_map(F.lit(0), F.lit(0))
+    return words.select((offsets[part] + F.col("row").bitwiseAND((1 << 33) - 1)).cast("int").alias("id"), "lang", "word", "a")
+
+
+def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, shard_words: int = 3_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n), the frequent words (id, lang, word, a), and the phrases of 2 to ``longest`` of them that occur ``least``
     times (phrase, a), the phrase as an array of ids.
 
@@ -223,16 +233,16 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, shard_word
     total, words, where = frequent_words(shards, least)
     ids = where.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
     lean = shards.select("shard", "counts", "gaps")
-    pairs = pair_counts(lean.join(ids, "shard", "left"))
-    known = pairs.withColumn("all", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("all") >= least)
-    known = materialize(known, "pairs")
-    here = known.groupBy("shard").agg(F.collect_list(F.struct("places", "a", "b")).alias("pairs"))
-    longer = longer_counts(lean.join(here, "shard"), longest).groupBy("phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    two = known.groupBy("a", "b").agg(F.max("all").alias("all")).select(F.array("a", "b").alias("phrase"), F.col("all").alias("a"))
+    pairs = pair_counts(lean.join(ids, "shard"))
+    known = pairs.withColumn("all", F.sum("n").over(Window.partitionBy("pair"))).where(F.col("all") >= least)
+    known = materialize(known.select("shard", "pair", "all"), "pairs")
+    here = known.groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
+    longer = longer_counts(lean.join(ids, "shard").join(here, "shard"), longest).groupBy("phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    two = known.groupBy("pair").agg(F.max("all").alias("a")).select(F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int")).alias("phrase"), "a")
     return total, words, materialize(two.union(longer), "phrases")
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, absorbed: int = 80, most: int = 2000, shard_words: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, absorbed: int = 80, most: int = 2000, shard_words: int = 3_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) for ``docs`` (lang, text): each language's first ``most`` collocations.
 
     The score of a cut after the first k words is floor(2000000 a / (l + r)), from the frequencies of the phrase and its
@@ -245,7 +255,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, absorbed: i
 
     def inner(p: Column, k: int) -> Column:
         at = F.sequence(F.lit(1), F.size(p) - k + 1)
-        return F.when(F.size(p) > k, F.transform(at, lambda i: F.slice(p, i, k))).otherwise(F.array().cast("array<array<bigint>>"))
+        return F.when(F.size(p) > k, F.transform(at, lambda i: F.slice(p, i, k))).otherwise(F.array().cast("array<array<int>>"))
 
     within = F.flatten(F.array(*[inner(F.col("phrase"), k) for k in range(2, longest)]))
     inside = phrases.where(F.size("phrase") > 2).select(F.explode(within).alias("phrase"), F.col("a").alias("over"))
