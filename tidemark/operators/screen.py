@@ -116,24 +116,28 @@ def thinned_t(df: DataFrame, x: str, y: str, keys: list[str], stride: int, order
     return some.groupBy(*keys).agg(m.alias("m"), F.when((m >= least) & (sxx > 0) & (rest > 0), F.regr_slope(b, a) / F.sqrt(rest / (m - 2) / sxx)).alias("t"))
 
 
+def rejected(df: DataFrame, p: str, keys: list[str], alpha: float = 0.05) -> DataFrame:
+    """``df`` with ``rejected`` by Benjamini-Hochberg within ``keys``; null p are never rejected and not counted."""
+    own = Window.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last())
+    group = Window.partitionBy(*keys)
+    ranked = df.withColumn("__r", F.row_number().over(own)).withColumn("__m", F.count(p).over(group))
+    last = F.max(F.when(F.col(p) <= alpha * F.col("__r") / F.col("__m"), F.col(p))).over(group)
+    return ranked.withColumn("rejected", F.coalesce(F.col(p) <= last, F.lit(False))).drop("__r", "__m")
+
+
 def reject_set(df: DataFrame, p: str, keys: list[str], alpha: float = 0.05) -> DataFrame:
-    """``df`` with ``rejected`` by Benjamini-Hochberg within ``keys``, and the group's ``median_p``; null p are never rejected."""
-    own = Window.partitionBy(*keys, F.col(p).isNull())
-    rank = F.row_number().over(own.orderBy(p))
-    last = F.max(F.when(F.col(p) <= alpha * F.col("__r") / F.col("__m"), F.col(p))).over(own)
-    ranked = df.withColumn("__r", rank).withColumn("__m", F.count(p).over(own)).withColumn("__last", last)
+    """``rejected`` with the group's ``median_p``."""
     medians = df.groupBy(*keys).agg(F.percentile(p, F.lit(0.5)).alias("median_p"))
-    return ranked.withColumn("rejected", F.coalesce(F.col(p) <= F.col("__last"), F.lit(False))).drop("__r", "__m", "__last").join(medians, keys)
+    return rejected(df, p, keys, alpha).join(medians, keys)
 
 
 def rolling_correlation(x: str, y: str, keys: list[str], rows: int, order: str = "s") -> Column:
-    """Correlation over the last ``rows`` rows, all with both values; null without spread."""
+    """Correlation over the last ``rows`` rows, all with both values, which may be fractions; null without spread."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - rows, 0)
-    full = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(w) == rows
-    a, b = (F.col(c).cast("decimal(18,0)") for c in (x, y))
-    sa, sb, saa, sbb, sab = (F.sum(v).over(w).cast("double") for v in (a, b, a * a, b * b, a * b))
-    va, vb = rows * saa - sa * sa, rows * sbb - sb * sb
-    return F.when(full & (va > 0) & (vb > 0), (rows * sab - sa * sb) / (F.sqrt(va) * F.sqrt(vb)))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    full = F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).over(w) == rows
+    spread = (F.min(a).over(w) < F.max(a).over(w)) & (F.min(b).over(w) < F.max(b).over(w))
+    return F.when(full & spread, F.corr(a, b).over(w))
 
 
 def _ranks(a: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,20 +54,50 @@ def forecast_metrics(pred: Column, actual: Column) -> dict[str, Column]:
     }
 
 
-def circular_shift_test(df: DataFrame, x: str, y: str, keys: list[str], step: int = 1, order: str = "s") -> DataFrame:
-    """(keys, ic, shifts, p): the correlation per group against those with ``y`` turned round by multiples of ``step``.
+def _turned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Of each row's two arrays: their correlation, and how many of all ways to turn one round do as well in size, itself
+    included; null without spread. All turns are one cross-correlation."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        size = np.sqrt(((x - x.mean()) ** 2).sum() * ((y - y.mean()) ** 2).sum()) if len(x) else 0.0
+        if not size or x.min() == x.max() or y.min() == y.max():
+            out.append((None, None))
+            continue
+        r = np.fft.irfft(np.fft.rfft(y - y.mean()) * np.conj(np.fft.rfft(x - x.mean())), len(x)) / size
+        out.append((r[0], int((np.abs(r) >= abs(r[0]) - 1e-12).sum())))
+    return pd.DataFrame(out, columns=["ic", "as_good"])
 
-    ``p`` counts shifts that do as well in size, itself included. Each shift is an equi-join on the position in the group;
-    rows with a null are left out first. Columns are whole numbers.
+
+def turned(i: Column, a: Column, b: Column) -> Column:
+    """Aggregate: struct (ic, as_good) of ``a`` against ``b`` in order of ``i``, turned round by every number of places."""
+    rows = F.array_sort(F.collect_list(F.struct(i.alias("i"), a.cast("double").alias("a"), b.cast("double").alias("b"))))
+    return F.pandas_udf(_turned, "struct<ic:double,as_good:long>")(F.transform(rows, lambda r: r["a"]), F.transform(rows, lambda r: r["b"]))
+
+
+def circular_shift_test(df: DataFrame, x: str, y: str, keys: list[str], order: str = "s") -> DataFrame:
+    """(keys, ic, shifts, p): the correlation per group against those with ``y`` turned round by every number of places.
+
+    ``p`` counts the turns that do as well in size, none included; null, as ``ic``, without spread. Rows with a null are
+    left out first. A group is as long as its sessions; all its turns are one transform.
     """
-    w = Window.partitionBy(*keys)
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    at = both.select(*keys, F.col(x).alias("a"), F.col(y).alias("b"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("size"))
-    turned = at.withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(step).cast("long")))).withColumn("i", (F.col("i") + F.col("shift")) % F.col("size"))
-    pairs = turned.drop("b").join(at.select(*keys, "i", "b"), [*keys, "i"])
-    ics = pairs.groupBy(*keys, "shift").agg(exact_correlation(F.col("a"), F.col("b")).alias("ic"))
-    own = F.max(F.when(F.col("shift") == 0, F.col("ic"))).over(w)
-    ics = ics.withColumn("own", own)
-    as_good = F.count_if((F.col("shift") > 0) & (F.abs("ic") >= F.abs("own") - 1e-12))
-    shifts = F.count_if(F.col("shift") > 0)
-    return ics.groupBy(*keys).agg(F.max("own").alias("ic"), shifts.alias("shifts"), ((as_good + 1) / (shifts + 1)).alias("p"))
+    found = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), turned(F.col(order), F.col(x), F.col(y)).alias("r"))
+    return found.select(*keys, F.col("r.ic").alias("ic"), (F.col("n") - 1).alias("shifts"), (F.col("r.as_good") / F.col("n")).alias("p"))
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with a whole number of degrees of freedom, by its finite sum; null under one degree."""
+    odd = df % 2 == 1
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    square = F.pow(F.cos(angle), F.lit(2))
+    steps = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+
+    def add(s, k):
+        return F.struct((s["term"] * square * F.when(odd, (2 * k) / (2 * k + 1.0)).otherwise((2 * k - 1) / (2.0 * k))).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+
+    first = F.struct(F.when(odd, F.cos(angle)).otherwise(F.lit(1.0)).alias("term"), F.lit(0.0).alias("sum"))
+    turns = F.when(steps >= 0, F.sequence(F.lit(1), steps + 1)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(turns, first, add)["sum"] * F.sin(angle)
+    inside = F.when(odd, (angle + total) * 2 / F.pi()).otherwise(total)
+    return F.when(t.isNotNull() & (df >= 1), F.greatest(F.lit(0.0), 1 - inside))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation, factors, relational, rolling, signals, simulation, statistics
+from tidemark.plans import checkup, evaluation, factors, relational, rolling, signals, simulation, statistics
 
 FLAGSHIP = "factor_chain_pct60"
-QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES, **simulation.QUERIES, **factors.QUERIES, **evaluation.QUERIES, **signals.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL, **simulation.ORACLE_SQL, **factors.ORACLE_SQL, **evaluation.ORACLE_SQL, **signals.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES, **simulation.QUERIES, **factors.QUERIES, **evaluation.QUERIES, **signals.QUERIES, **checkup.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL, **simulation.ORACLE_SQL, **factors.ORACLE_SQL, **evaluation.ORACLE_SQL, **signals.ORACLE_SQL, **checkup.ORACLE_SQL}

@@ -92,7 +92,7 @@ SELECT yr, round(any_value(own), 9) AS ic, count(*) FILTER (shift > 0) AS shifts
 def circular_shift_p(spark, sf):
     f = level(spark, sf).select(F.year("d").cast("long").alias("yr"), "s", F.col("x").alias("a"))
     f = f.withColumn("b", F.lead("a").over(R.ordered(["yr"])) - F.col("a"))
-    return circular_shift_test(f, "a", "b", ["yr"], step=1).select("yr", F.round("ic", 9).alias("ic"), "shifts", "p")
+    return circular_shift_test(f, "a", "b", ["yr"]).select("yr", F.round("ic", 9).alias("ic"), "shifts", "p")
 
 
 @query("circular_shift_rank_p", with_base(""", f AS (SELECT year(d) AS yr, s, x AS a, lead(x) OVER (PARTITION BY year(d) ORDER BY s) - x AS b FROM lvl),
