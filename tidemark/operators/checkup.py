@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import ordered
 from tidemark.operators.screen import Z_CUTS, doubled_ranks, rejected
-from tidemark.operators.stats import student_p, turned
+from tidemark.operators.stats import correlation, student_p, turned
 
 
 def auto_lag(n: int) -> int:
@@ -31,12 +31,6 @@ def grid(factors: DataFrame, labels: DataFrame, order: str = "s") -> DataFrame:
     return factors.where(F.col("x").isNotNull()).join(labels.where(F.col("y").isNotNull()), order)
 
 
-def _corr(a, b) -> Column:
-    """Correlation; null without spread."""
-    a, b = (F.col(c).cast("double") if isinstance(c, str) else c for c in (a, b))
-    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
-
-
 def checkup(tests: DataFrame, keys: list[str], horizon: str, horizons: Iterable[int], longest: int, order: str = "s", least: int = 200, rolling: int = 60, on: float = 1.0, tail: float = 1.5) -> DataFrame:
     """One row a test of at least ``least`` rows of ``tests`` (keys, order, x, y, z), x and y not null; ``horizon`` is one of the keys, with values in ``horizons``.
 
@@ -57,10 +51,9 @@ def checkup(tests: DataFrame, keys: list[str], horizon: str, horizons: Iterable[
     ranked = base.withColumns({"ra": doubled_ranks("x", keys), "rb": doubled_ranks("y", keys), "i": F.row_number().over(by) - 1, "a": F.col("x") - F.avg("x").over(w), "b": F.col("y") - F.avg("y").over(w)})
     position = F.when(F.col("z") > on, 1).when(F.col("z") < -on, -1).otherwise(0)
     frame = by.rowsBetween(1 - rolling, 0)
-    spread = (F.min("x").over(frame) < F.max("x").over(frame)) & (F.min("y").over(frame) < F.max("y").over(frame))
     fitted = ranked.withColumns({
         "sxx": F.sum(F.col("a") * F.col("a")).over(w), "sxy": F.sum(F.col("a") * F.col("b")).over(w), "before": F.lag("a").over(by), "pos": position,
-        "rolled": F.when((F.col("i") >= rolling - 1) & spread, F.corr("x", "y").over(frame)),
+        "rolled": F.when(F.col("i") >= rolling - 1, correlation(F.col("x"), F.col("y"), frame)),
         "lags": F.greatest(F.col(horizon) - 1, F.floor(4 * F.pow(F.col("n") / 100, F.lit(2 / 9))), F.lit(1)).cast("int"),
     })
     slope = F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0))
@@ -87,10 +80,10 @@ def checkup(tests: DataFrame, keys: list[str], horizon: str, horizons: Iterable[
         return F.when((F.count_if(up) >= 5) & (F.count_if(down) >= 5), F.avg(F.when(up, gain)) / -F.avg(F.when(down, gain)))
 
     figures = {
-        "n": n, "ic": _corr("ra", "rb"), "icp": _corr("x", "y"),
+        "n": n, "ic": correlation(F.col("ra"), F.col("rb")), "icp": correlation(F.col("x"), F.col("y")),
         "icir": F.when((F.count("rolled") > 10) & (F.stddev_samp("rolled") > 0), F.avg("rolled") / F.stddev_samp("rolled")),
         "t": F.when((F.first("sxx") > 0) & (v > 0), F.first("beta") * F.first("sxx") / F.sqrt(v)),
-        "m": F.count_if(thin), "ti": F.when((F.count_if(thin) >= 15) & (F.regr_sxx(ty, tx) > 0) & (rest > 0), F.regr_slope(ty, tx) / F.sqrt(rest / (F.count_if(thin) - 2) / F.regr_sxx(ty, tx))),
+        "m": F.count_if(thin), "ti": F.when((F.count_if(thin) >= 15) & (F.regr_sxx(ty, tx) > 0) & (rest > 0), F.regr_sxy(ty, tx) / F.regr_sxx(ty, tx) / F.sqrt(rest / (F.count_if(thin) - 2) / F.regr_sxx(ty, tx))),
         **{f"q{k + 1}": F.when(F.count_if(group == k) >= 20, F.avg(F.when(group == k, F.col("y")))) for k in range(5)},
         "win": rate(side, gain > 0), "wl": rate(F.col("pos") > 0, F.col("y") > 0), "ws": rate(F.col("pos") < 0, F.col("y") < 0), "pl": payoff(side), "tail": payoff(side & (F.abs("z") > tail)),
         "turn": F.when(n > 2, F.avg("turned")), "kurt": F.when(F.min("x") < F.max("x"), F.kurtosis("x")), "acf": F.sum(F.col("a") * F.col("before")) / F.nullif(F.first("sxx"), F.lit(0.0)),
@@ -117,7 +110,7 @@ def checkup_slices(tests: DataFrame, keys: list[str], slices: dict[str, Column],
     ranked = rows.select(*part, doubled_ranks("x", part).alias("ra"), doubled_ranks("y", part).alias("rb"))
     n = F.count(F.lit(1))
     enough = n >= F.when(F.col("slice") == "recent:", recent).otherwise(least)
-    return ranked.groupBy(*part).agg(n.alias("n"), F.when(enough, _corr("ra", "rb")).alias("ic"))
+    return ranked.groupBy(*part).agg(n.alias("n"), F.when(enough, correlation(F.col("ra"), F.col("rb"))).alias("ic"))
 
 
 def marked(figures: DataFrame, block: list[str], group: str, alpha: float = 0.05) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import average_rank, ordered
-from tidemark.operators.stats import exact_correlation
+from tidemark.operators.stats import correlation, exact_correlation
 
 #: Quintile borders of the standard normal distribution, and borders of the six percentile bins.
 Z_CUTS = (-0.8416, -0.2533, 0.2533, 0.8416)
@@ -113,7 +113,7 @@ def thinned_t(df: DataFrame, x: str, y: str, keys: list[str], stride: int, order
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     m, sxx = F.count(F.lit(1)), F.regr_sxx(b, a)
     rest = F.regr_syy(b, a) - F.regr_sxy(b, a) * F.regr_sxy(b, a) / F.nullif(sxx, F.lit(0.0))
-    return some.groupBy(*keys).agg(m.alias("m"), F.when((m >= least) & (sxx > 0) & (rest > 0), F.regr_slope(b, a) / F.sqrt(rest / (m - 2) / sxx)).alias("t"))
+    return some.groupBy(*keys).agg(m.alias("m"), F.when((m >= least) & (sxx > 0) & (rest > 0), F.regr_sxy(b, a) / F.nullif(sxx, F.lit(0.0)) / F.sqrt(rest / (m - 2) / sxx)).alias("t"))
 
 
 def rejected(df: DataFrame, p: str, keys: list[str], alpha: float = 0.05) -> DataFrame:
@@ -134,10 +134,8 @@ def reject_set(df: DataFrame, p: str, keys: list[str], alpha: float = 0.05) -> D
 def rolling_correlation(x: str, y: str, keys: list[str], rows: int, order: str = "s") -> Column:
     """Correlation over the last ``rows`` rows, all with both values, which may be fractions; null without spread."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - rows, 0)
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    full = F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).over(w) == rows
-    spread = (F.min(a).over(w) < F.max(a).over(w)) & (F.min(b).over(w) < F.max(b).over(w))
-    return F.when(full & spread, F.corr(a, b).over(w))
+    full = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(w) == rows
+    return F.when(full, correlation(F.col(x), F.col(y), w))
 
 
 def _ranks(a: np.ndarray) -> np.ndarray:

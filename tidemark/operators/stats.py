@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import average_rank
@@ -29,6 +29,13 @@ def exact_correlation(a: Column, b: Column) -> Column:
     return F.when((va > 0) & (vb > 0), (n * sab - sa * sb) / (F.sqrt(va) * F.sqrt(vb)))
 
 
+def correlation(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of real numbers, of a group or over a frame; null without spread, as ``corr`` divides by it."""
+    a, b = a.cast("double"), b.cast("double")
+    c, sa, sb, la, ha, lb, hb = (f.over(over) if over is not None else f for f in (F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b), F.min(a), F.max(a), F.min(b), F.max(b)))
+    return F.when((la < ha) & (lb < hb), c / F.nullif(sa * sb, F.lit(0.0)))
+
+
 def adjusted_q(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
     """``df`` with ``q``: Benjamini-Hochberg values per group; null p are left out of the count and stay null."""
     own = Window.partitionBy(*keys, F.col(p).isNull())
