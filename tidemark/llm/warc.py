@@ -7,10 +7,12 @@ import gzip
 import hashlib
 import math
 import re
+from collections import Counter
+from itertools import groupby
 from urllib.parse import urlsplit
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, materialize, read, scratch_path
@@ -162,8 +164,9 @@ class LoserTree:
 def merged_index(path: str, spark: SparkSession, range_rows: int = 20_000, sample: int = 20_000) -> DataFrame:
     """Capture histories of the archives under ``path``: rows of CAPTURE with ``range`` and ``position``.
 
-    (range, position) is the global order by (url_key, captured_at, page_id). Each file is one run, sorted where it is
-    read and cut at the range borders; a range's pieces are merged by a loser tree. Borders are keys of a sample of rows, two
+    ``position`` is the place, from 0, in the global order by (url_key, captured_at, page_id). Each file is one run, sorted
+    where it is read and cut at the range borders; a range's pieces are merged by a loser tree, and its places begin after
+    the rows of the ranges before, of which a count a range is added up. Borders are keys of a sample of rows, two
     a range of ``range_rows`` captures and ``sample`` at least, and steer balance only; they are whole keys, so that one host or URL spreads over ranges. No file, no rows.
     """
     names = ("url_key", "captured_at", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -184,14 +187,21 @@ def merged_index(path: str, spark: SparkSession, range_rows: int = 20_000, sampl
 
     def cut(batches):
         for b in batches:
-            out = []
-            for run in b["run"]:
-                own = [_order(r["url_key"], r["captured_at"], r["page_id"]) for r in run]
-                ends = [0, *(bisect.bisect_left(own, border) for border in borders), len(run)]
-                out += [(k, run[a:z]) for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if a < z]
+            out = [(k, list(piece)) for run in b["run"] for k, piece in groupby(run, key=range_of)]
             yield {"range": [k for k, _ in out], "run": [piece for _, piece in out]}
 
+    def count(batches):
+        for b in batches:
+            found = Counter(range_of(r) for run in b["key"] for r in run)
+            yield {"range": list(found), "n": list(found.values())}
+
+    def range_of(r) -> int:
+        return bisect.bisect_right(borders, _order(r["url_key"], r["captured_at"], r["page_id"]))
+
     pieces = map_batches(runs, cut, f"range int, run array<{entry}>")
+    slim = runs.select(F.arrays_zip(F.col("run.url_key").alias("url_key"), F.col("run.captured_at").alias("captured_at"), F.col("run.page_id").alias("page_id")).alias("key"))
+    sizes = map_batches(slim, count, "range int, n long").groupBy("range").agg(F.sum("n").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row a range
 
     def merge(batches):
         pending: dict[int, list] = {}
@@ -210,11 +220,12 @@ def merged_index(path: str, spark: SparkSession, range_rows: int = 20_000, sampl
             yield {"range": [k] * len(rows), "position": list(range(len(rows)))} | {n: [r[n] for r in rows] for n in names}
 
     dealt = pieces.repartition(len(borders) + 1, "range").sortWithinPartitions("range")
-    return map_batches(dealt, merge, f"range int, position long, {CAPTURE}")
+    merged = map_batches(dealt, merge, f"range int, position long, {CAPTURE}")
+    return merged.join(before, "range").withColumn("position", F.col("position") + F.col("before")).drop("before")
 
 
 def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write, read back and merge all pages; (key_range, position) is the global order by URL key, time and page_id.
+    """Write, read back and merge all pages; ``position`` is the place in the global order by URL key, time and page_id.
 
     A null html is an empty payload, a null url the empty key; rows equal in page_id are captures of their own; a row
     without a page_id is a response. No rows, no rows.
@@ -222,15 +233,19 @@ def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     index = merged_index(path, spark)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", F.col("range").cast("long").alias("key_range"), "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
 
 
-OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
-d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest,
+  strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at,
+  regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www[0-9]*\.', '') AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM p),
+k AS (SELECT *, lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END) AS url_key FROM d),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT d.page_id, d.payload_bytes, d.payload_digest,
-  CASE WHEN d.payload_bytes >= 100 AND d.page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN d.payload_bytes >= 100 AND d.page_id > first_id THEN first_id END AS refers_to
-FROM d LEFT JOIN f USING (payload_digest)
+SELECT k.page_id, k.payload_bytes, k.payload_digest,
+  CASE WHEN k.payload_bytes >= 100 AND k.page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k.payload_bytes >= 100 AND k.page_id > first_id THEN first_id END AS refers_to,
+  url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS position
+FROM k LEFT JOIN f USING (payload_digest)
 """
