@@ -191,12 +191,14 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.93, window: int =
     """(vec_id, n_links, component_id, kept) of every row of ``table`` (vec_id, embedding, label).
 
     A label's number of passes follows from its classes (``passes_needed``). Vectors that are null, empty, zero or hold a
-    null or non-finite component, and rows with a null label or a null vec_id, link with nothing. Equal vectors of a label are one class while the passes run, and counted again at the end. Ties in the order go by
-    vec_id. Repeated rows of one vec_id come back as often as they are, linked as one vector. No rows, no rows.
+    null or non-finite component, and rows with a null label or a null vec_id, link with nothing. Equal vectors of a label
+    are one class while the passes run, and counted again at the end. Ties in the order go by vec_id. Rows that share a
+    vec_id are one vector, that of the least label, then of the least components, among those that can link; they come back
+    as often as they are, each with its links. No rows, no rows.
     """
     spark = table.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    vectors = materialize(unit_vectors(table).groupBy("vec_id", "label").agg(F.first("unit").alias("unit")), "vectors")
+    vectors = materialize(unit_vectors(table).groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("v")).select("vec_id", "v.label", "v.unit"), "vectors")
     classes = materialize(vectors.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     dealt = classes.join(passes_needed(classes, cosine, window), "label")
     edges = projection_links(dealt.select(F.col("rep").alias("vec_id"), "label", "unit", "passes"), cosine, window, bits, partitions)
