@@ -153,8 +153,14 @@ def percentile_in_sample(x: Column, sample: str) -> Column:
     return F.lit(100.0) * (below + same / 2) / F.size(sample)
 
 
-def p_verdict(df: DataFrame, p: str, keys: list[str], cut: float = 0.05) -> DataFrame:
-    """Share of p under ``cut`` per group, its median, and what that says: ``signal``, ``weak`` or ``noise``."""
-    under, median = F.avg((F.col(p) < cut).cast("double")), F.percentile(p, F.lit(0.5))
-    verdict = F.when((under >= 2 * cut) & (median < 0.4), "signal").when(under > cut, "weak").otherwise("noise")
-    return df.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), under.alias("share"), median.alias("median_p"), verdict.alias("verdict"))
+#: Shares of p under 0.05, and medians, that a uniform sample may have; a share that says enriched.
+UNIFORM_SHARE, UNIFORM_MEDIAN, ENRICHED_SHARE = (0.03, 0.09), (0.35, 0.65), 0.15
+
+
+def p_verdict(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
+    """(keys, n, share, share10, median_p, verdict): shares of p under 0.05 and 0.1, the median, and what they say: ``uniform``,
+    ``enriched`` or ``deviating``, which somebody should look at."""
+    under, median = F.avg((F.col(p) < 0.05).cast("double")), F.percentile(p, F.lit(0.5))
+    verdict = F.when(under.between(*UNIFORM_SHARE) & median.between(*UNIFORM_MEDIAN), "uniform").when(under > ENRICHED_SHARE, "enriched").otherwise("deviating")
+    figures = {"n": F.count(F.lit(1)), "share": under, "share10": F.avg((F.col(p) < 0.1).cast("double")), "median_p": median, "verdict": verdict}
+    return df.where(F.col(p).isNotNull()).groupBy(*keys).agg(*[c.alias(n) for n, c in figures.items()])

@@ -146,8 +146,8 @@ def percentile_in_sample(spark, sf):
     return p.select("p_brand", F.col("p_size").alias("x")).distinct().join(sample, "p_brand").select("p_brand", "x", E.percentile_in_sample(F.col("x"), "sample").alias("pct"))
 
 
-@query("p_verdict", "WITH p AS (SELECT c_nationkey AS g, pow((c_custkey * 7919 % 1000) / 1000.0::DOUBLE, 1 + c_nationkey % 3) AS p FROM customer), a AS (SELECT g, count(*) AS n, avg(CASE WHEN p < 0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS sh, quantile_cont(p, 0.5) AS m FROM p GROUP BY g) SELECT g, n, round(sh, 9) AS share, round(m, 8) AS median_p, CASE WHEN sh >= 0.1::DOUBLE AND m < 0.4::DOUBLE THEN 'signal' WHEN sh > 0.05::DOUBLE THEN 'weak' ELSE 'noise' END AS verdict FROM a")
+@query("p_verdict", "WITH p AS (SELECT c_nationkey AS g, pow((c_custkey * 7919 % 1000) / 1000.0::DOUBLE, 1 + c_nationkey % 3) AS p FROM customer), a AS (SELECT g, count(*) AS n, avg(CASE WHEN p < 0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS sh, avg(CASE WHEN p < 0.1::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS sh10, quantile_cont(p, 0.5) AS m FROM p GROUP BY g) SELECT g, n, round(sh, 9) AS share, round(sh10, 9) AS share10, round(m, 8) AS median_p, CASE WHEN sh BETWEEN 0.03::DOUBLE AND 0.09::DOUBLE AND m BETWEEN 0.35::DOUBLE AND 0.65::DOUBLE THEN 'uniform' WHEN sh > 0.15::DOUBLE THEN 'enriched' ELSE 'deviating' END AS verdict FROM a")
 def p_verdict(spark, sf):
     k = F.col("c_custkey")
     p = table(spark, sf, "customer").select(F.col("c_nationkey").alias("g"), F.pow(k * 7919 % 1000 / F.lit(1000.0), 1 + F.col("c_nationkey") % 3).alias("p"))
-    return E.p_verdict(p, "p", ["g"]).select("g", "n", F.round("share", 9).alias("share"), F.round("median_p", 8).alias("median_p"), "verdict")
+    return E.p_verdict(p, "p", ["g"]).select("g", "n", F.round("share", 9).alias("share"), F.round("share10", 9).alias("share10"), F.round("median_p", 8).alias("median_p"), "verdict")

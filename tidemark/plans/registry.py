@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import checkup, evaluation, factors, relational, rolling, screener, signals, simulation, statistics, trees
+from tidemark.plans import checkup, evaluation, factors, filters, relational, rolling, screener, signals, simulation, statistics, trees
 
 FLAGSHIP = "factor_chain_pct60"
-QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES, **simulation.QUERIES, **factors.QUERIES, **evaluation.QUERIES, **signals.QUERIES, **checkup.QUERIES, **trees.QUERIES, **screener.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL, **simulation.ORACLE_SQL, **factors.ORACLE_SQL, **evaluation.ORACLE_SQL, **signals.ORACLE_SQL, **checkup.ORACLE_SQL, **trees.ORACLE_SQL, **screener.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **rolling.QUERIES, **statistics.QUERIES, **simulation.QUERIES, **factors.QUERIES, **evaluation.QUERIES, **signals.QUERIES, **checkup.QUERIES, **trees.QUERIES, **screener.QUERIES, **filters.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **rolling.ORACLE_SQL, **statistics.ORACLE_SQL, **simulation.ORACLE_SQL, **factors.ORACLE_SQL, **evaluation.ORACLE_SQL, **signals.ORACLE_SQL, **checkup.ORACLE_SQL, **trees.ORACLE_SQL, **screener.ORACLE_SQL, **filters.ORACLE_SQL}

@@ -58,13 +58,13 @@ def historic_volatility(spark, sf):
     return c.select("s", *[F.round(100 * T.volatility(F.col("r"), [], n, 246, 1), 7).alias(f"hv{n}") for n in (20, 40, 60)])
 
 
-@query("spread_changes", with_base(", a AS (SELECT a.s, a.x - b.x AS x FROM ser a JOIN ser b ON a.s = b.s WHERE a.k = '1' AND b.k = '5') SELECT s, x, CASE WHEN count(x) OVER w = 5 THEN CAST(sum(x) OVER w AS BIGINT) / 5 END AS ma5, x - lag(x) OVER (ORDER BY s) AS change1, x - lag(x, 5) OVER (ORDER BY s) AS change5, x - lag(x, 10) OVER (ORDER BY s) AS change10 FROM a WINDOW w AS (ORDER BY s ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"))
+@query("spread_changes", with_base(", a AS (SELECT a.s, a.x - b.x AS x FROM ser a JOIN ser b ON a.s = b.s WHERE a.k = '1' AND b.k = '5') SELECT s, x, CASE WHEN count(x) OVER w = 5 THEN CAST(sum(x) OVER w AS BIGINT) / 5 END AS ma5, x - lag(x) OVER (ORDER BY s) AS change1, x - lag(x, 3) OVER (ORDER BY s) AS change3, x - lag(x, 5) OVER (ORDER BY s) AS change5, x - lag(x, 10) OVER (ORDER BY s) AS change10 FROM a WINDOW w AS (ORDER BY s ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"))
 def spread_changes(spark, sf):
     """Spread of two keys, its strict mean of five sessions and its changes; null where a leg is missing."""
     both = series(spark, sf)
     a, b = both.where("k = '1'").select("s", F.col("x").alias("a")), both.where("k = '5'").select("s", F.col("x").alias("b"))
     d, w = a.join(b, "s").select("s", (F.col("a") - F.col("b")).alias("x")), R.ordered([])
-    return d.select("s", "x", R.mean_over(x(), R.frame([], 5), 5).alias("ma5"), *[(x() - F.lag(x(), n).over(w)).alias(f"change{n}") for n in (1, 5, 10)])
+    return d.select("s", "x", R.mean_over(x(), R.frame([], 5), 5).alias("ma5"), *[(x() - F.lag(x(), n).over(w)).alias(f"change{n}") for n in (1, 3, 5, 10)])
 
 
 @query("z_difference", with_base(f", v AS (SELECT k, s, CASE WHEN count(x) {_w(5)} = 5 THEN CAST(sum(x) {_w(5)} AS BIGINT) END AS x FROM ser), z AS (SELECT k, s, {_full(60, _z('x', 60, 42))} AS z FROM v) SELECT a.s, round(a.z - b.z, 9) AS z_difference FROM z a JOIN z b ON a.s = b.s WHERE a.k = '1' AND b.k = '5'"))
