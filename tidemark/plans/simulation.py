@@ -11,7 +11,9 @@ from tidemark.operators.simulate import simulate
 from tidemark.operators.stats import circular_shift_test
 from tidemark.plans.statistics import signals
 from tidemark.sources.sql import BASE, with_base
-from tidemark.sources.tables import level, table
+from tidemark.sources.scratch import settled
+from tidemark.sources.tables import level, series, table
+from tidemark.streaming.issue import issue_sessions
 from tidemark.streaming.rolling import replay, rolling_mean
 
 QUERIES: dict = {}
@@ -133,3 +135,17 @@ def stream_rolling_mean(spark, sf):
     rows = source.select("event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("long").alias("x"))
     out = replay(rolling_mean(rows, "user_id", "ts", "event_id", "x", 5), "rolling-mean")
     return out.select("event_id", "user_id", "late", "n", F.round(F.col("total") / (F.lit(100.0) * F.col("n")), 6).alias("mean"))
+
+
+@query("issued_sessions", with_base(""", f AS (SELECT k, s, CASE WHEN s % 97 <> 0 THEN coalesce(x, 0) ELSE x END AS x FROM ser), b AS (SELECT k, coalesce(min(s) FILTER (x IS NULL), 1000000) AS stop FROM f GROUP BY k),
+i AS (SELECT f.k, f.s, lvl.x - f.x AS v FROM f JOIN lvl USING (s) JOIN b ON b.k = f.k WHERE f.s < b.stop)
+SELECT k, 'issued' AS kind, s AS session, NULL AS feed, CAST(v AS DOUBLE) AS value, row_number() OVER w AS n, CAST(sum(v) OVER w AS DOUBLE) AS total FROM i WINDOW w AS (PARTITION BY k ORDER BY s)
+UNION ALL SELECT k, 'blocked', stop, 'flow', NULL, NULL, NULL FROM b WHERE stop < 1000000"""))
+def issued_sessions(spark, sf):
+    """The level less each series, issued session by session from two feeds; a session whose flow is missing blocks what follows."""
+    x = F.when(F.col("s") % 97 != 0, F.coalesce("x", F.lit(0))).otherwise(F.col("x")).cast("double")
+    flow = series(spark, sf).select("k", "s", F.lit("flow").alias("feed"), x.alias("v")).where("v is not null")
+    price = series(spark, sf).select("k", "s").join(level(spark, sf).select("s", F.col("x").cast("double").alias("v")), "s").select("k", "s", F.lit("price").alias("feed"), "v")
+    feeds = settled(flow.unionByName(price), "feeds")
+    source = spark.readStream.schema(feeds.schema).parquet(feeds.inputFiles()[0].rsplit("/", 1)[0])
+    return replay(issue_sessions(source, "k", "s", "feed", "v", ["price", "flow"]), "issued").select("k", "kind", "session", "feed", "value", "n", "total")
