@@ -166,9 +166,43 @@ def test_plan_uses_each_item_once(scale, high):
         assert sorted(1024 - int(p @ np.arange(1025)) for p, t in fitted for _ in range(t)) == sorted(rooms)
     bins = sum(t for _, t in made)
     assert bins <= sum(t for _, t in fitted) and len(made) < 4000
-    priced = packing.fractional_patterns(counts, 1.0)  # the program covers every length, near the bound by volume
-    assert np.allclose(sum((p * x for p, x in priced), np.zeros(1025)), counts)
-    assert sum(x for _, x in priced) <= 1.03 * (counts @ np.arange(1025)) / 1024 + 1
+    priced, bound = packing.program(counts)  # it covers every length, and its bound is one
+    assert (sum((p * x for p, x in priced), np.zeros(1025)) >= counts - 1e-6).all()
+    assert counts @ np.arange(1025) / 1024 <= bound + 1e-6 <= sum(x for _, x in priced) + 1e-3
+
+
+@pytest.mark.parametrize("sizes, bins", [({342: 3000, 341: 3000, 680: 1000}, 2750), ({520: 900, 350: 1500, 160: 2200, 340: 700}, 1575), ({1024: 5}, 5), ({600: 7}, 7), ({}, 0)])
+def test_plan_solves_the_program(sizes, bins):
+    counts = np.zeros(1025, np.int64)
+    for length, n in sizes.items():
+        counts[length] = n
+    made = packing.plan(counts)
+    assert sum(t for _, t in made) == bins
+    assert sum((p * t for p, t in made), np.zeros(1025, int)).tolist() == counts.tolist()
+    assert packing.program(counts)[1] <= bins + 1e-6
+
+
+def test_plan_on_small_histograms():
+    """The fewest bins by trying all patterns, on capacity 12; and never fewer than the bound."""
+    from functools import lru_cache
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    for _ in range(12):
+        sizes = sorted(rng.choice(np.arange(2, 11), 3, replace=False).tolist())
+        want = tuple(rng.integers(1, 5, 3).tolist())
+        patterns = [a for a in product(range(7), repeat=3) if 0 < sum(n * s for n, s in zip(a, sizes, strict=True)) <= 12]
+
+        @lru_cache(None)
+        def fewest(left, patterns=tuple(patterns)):
+            if not any(left):
+                return 0
+            return 1 + min(fewest(tuple(a - b for a, b in zip(left, p, strict=True))) for p in patterns if all(a >= b for a, b in zip(left, p, strict=True)))
+
+        counts = np.zeros(13, np.int64)
+        counts[sizes] = want
+        bins = sum(t for _, t in packing.plan(counts))
+        assert fewest(want) <= bins <= fewest(want) + 1 and packing.program(counts)[1] <= fewest(want) + 1e-6
 
 
 def test_plan_takes_patterns_of_the_program():
@@ -176,7 +210,7 @@ def test_plan_takes_patterns_of_the_program():
     counts[-1] = 7
     made, fitted = packing.plan(counts), packing.best_fit(counts)
     assert sum(t for _, t in made) <= sum(t for _, t in fitted)
-    keys = {p.tobytes() for p, _ in packing.fractional_patterns(counts * (np.arange(1025) < 1024), 1.0)}
+    keys = {p.tobytes() for p, _ in packing.program(counts * (np.arange(1025) < 1024))[0]}
     assert sum(t for p, t in made if p.tobytes() in keys) > 0.05 * sum(t for _, t in made)
 
 

@@ -87,17 +87,16 @@ def best_pattern(prices: np.ndarray, room: np.ndarray) -> np.ndarray:
     return counts
 
 
-def fractional_patterns(counts: np.ndarray, spread: float) -> list[tuple[np.ndarray, float]]:
-    """Patterns with fractional amounts that together cover ``counts``, by multiplicative weights.
+def cover(counts: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """Patterns with fractional amounts that together hold exactly ``counts``, greedily: the start of the program.
 
-    A length's weight falls exponentially in the share of it that is covered already, and grows a little faster than the
-    length, as long items are the harder to place. Each round prices a pattern by the knapsack and takes as much of it as
-    its scarcest length allows, so there are at most as many rounds as lengths, whatever the counts.
+    A length's price grows a little faster than the length, as long items are the harder to place, and falls with the share
+    of it that is covered. A pattern is taken as often as its scarcest length allows, so rounds are at most the lengths.
     """
     lengths = np.arange(len(counts))
     wanted, covered, found = np.maximum(counts, 1e-9).astype(float), np.zeros(len(counts)), {}
     while (left := counts > covered + 1e-6)[1:].any():
-        prices = (lengths / len(lengths)) ** 1.1 * (1 + spread * np.exp(-3 * covered / wanted))
+        prices = (lengths / len(lengths)) ** 1.1 * (1 + np.exp(-3 * covered / wanted))
         pattern = best_pattern(prices, left)
         has = pattern > 0
         amount = ((counts - covered)[has] / pattern[has]).min()
@@ -107,6 +106,72 @@ def fractional_patterns(counts: np.ndarray, spread: float) -> list[tuple[np.ndar
     return list(found.values())
 
 
+def program(counts: np.ndarray, gap: float = 0.01, step: float = 0.05, most: int = 20_000) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """The configuration program over ``counts``: patterns with amounts that cover every length, and a lower bound on the bins.
+
+    Multiplicative weights: a length's weight falls by exp(-step x share of it covered) whenever a pattern takes it. The
+    dearest pattern known is taken as often as its scarcest length allows; every so many steps the knapsack prices a new one,
+    and sum(counts x price) over its worth bounds the program from below. The amounts taken, scaled to cover everything, are
+    a solution. It ends when that is within ``gap`` of the bound, or after ``most`` steps: then the best so far is returned.
+    """
+    used = np.nonzero(counts)[0]
+    best = cover(counts)
+    if not len(used):
+        return best, 0.0
+    n, capacity = counts[used].astype(float), len(counts) - 1
+    value, bound = sum(x for _, x in best), float(counts @ np.arange(capacity + 1)) / capacity
+    known = {p.tobytes(): i for i, (p, _) in enumerate(best)}
+    patterns = [p for p, _ in best]
+    a = np.array([p[used] for p in patterns], float)
+    logs, taken, covered = np.log(used / (n * capacity)) + np.log(n), np.zeros(len(patterns)), np.zeros(len(used))
+    for i in range(most):
+        if value <= bound * (1 + gap):
+            break
+        weight = np.exp(logs - logs.max()) / n  # the price of one item; all items of a length weigh exp(logs)
+        if i % 50 == 0:
+            prices = np.zeros(capacity + 1)
+            prices[used] = weight
+            new = best_pattern(prices, counts)
+            bound = max(bound, float(weight @ n) / float(new @ prices))
+            if new.tobytes() not in known:
+                known[new.tobytes()] = len(patterns)
+                patterns.append(new)
+                a, taken = np.vstack([a, new[used]]), np.append(taken, 0.0)
+            if covered.min() > 0 and taken.sum() / covered.min() < value:
+                value = taken.sum() / covered.min()
+                best = [(p, x) for p, x in zip(patterns, taken / covered.min(), strict=True) if x > 0]
+        j = int((a @ weight).argmax())
+        has = a[j] > 0
+        times = (n[has] / a[j][has]).min()
+        taken[j] += times
+        covered += times * a[j] / n
+        logs -= step * times * a[j] / n
+    return best, bound
+
+
+def corner(priced: list[tuple[np.ndarray, float]], counts: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """The solution nearest to ``priced`` that holds exactly ``counts`` by as many patterns as there are lengths, largest amounts
+    first; nothing where those don't solve it, or where there are over 256 lengths."""
+    used = np.nonzero(counts)[0]
+    if not 0 < len(used) <= 256:
+        return []
+    chosen: list[np.ndarray] = []
+    span = np.zeros((0, len(used)))
+    for pattern, _ in sorted(priced, key=lambda r: -r[1]):
+        rest = pattern[used].astype(float)
+        rest = rest - span.T @ (span @ rest)
+        rest = rest - span.T @ (span @ rest)
+        if (size := np.linalg.norm(rest)) > 1e-6:
+            chosen.append(pattern)
+            span = np.vstack([span, rest / size])
+    if len(chosen) < len(used):
+        return []
+    system, n = np.array([p[used] for p in chosen], float).T, counts[used].astype(float)
+    amounts = np.linalg.lstsq(system, n)[0]
+    solves = amounts.min() > -1e-6 and np.allclose(system @ amounts, n)
+    return list(zip(chosen, amounts.tolist(), strict=True)) if solves else []
+
+
 def best_fit(counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """(pattern, times) that hold exactly ``counts``: best fit, longest first.
 
@@ -147,11 +212,23 @@ def best_fit(counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return [bin_ for held in rooms for bin_ in held]
 
 
-def plan(counts: np.ndarray, spread: float = 1.0, shares: tuple = (1.0, 0.8, 0.6, 0.4, 0.2, 0.1, 0.05, 0.0)) -> list[tuple[np.ndarray, int]]:
+def rounded(priced: list[tuple[np.ndarray, float]], share: float, counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """``share`` of the amounts, rounded down and never more than there is, largest first; the rest by best fit."""
+    left, out = counts.copy(), []
+    for pattern, amount in sorted(priced, key=lambda r: -r[1]):
+        has = pattern > 0
+        times = min(int(share * amount + 1e-6), int((left[has] // pattern[has]).min()))
+        if times > 0:
+            out.append((pattern, times))
+            left = left - times * pattern
+    return out + best_fit(left)
+
+
+def plan(counts: np.ndarray, shares: tuple = (1.0, 0.8, 0.6, 0.4, 0.2, 0.1, 0.05, 0.0)) -> list[tuple[np.ndarray, int]]:
     """(pattern, times) that use every item of the histogram ``counts`` (by length, index 0 unused) exactly once.
 
-    The program's fractional amounts, or the ``shares`` of them, are rounded down and what that leaves is best-fitted; of
-    these roundings the one with the fewest bins is taken. The share 0 is best fit alone, so the plan is never worse.
+    The program's amounts, or the ``shares`` of them, are rounded down and what that leaves is best-fitted; of these
+    roundings the one with the fewest bins is taken. The share 0 is best fit alone, so the plan is never worse.
     """
     counts, out = counts.copy(), []
     if counts[-1]:
@@ -159,13 +236,15 @@ def plan(counts: np.ndarray, spread: float = 1.0, shares: tuple = (1.0, 0.8, 0.6
         full[-1] = 1
         out.append((full, int(counts[-1])))
         counts[-1] = 0
-    priced = fractional_patterns(counts, spread)
+    solved, bound = program(counts)
     best: list | None = None
-    for share in shares:
-        made = [(pattern, times) for pattern, amount in priced if (times := int(share * amount + 1e-9))]
-        made += best_fit(counts - sum((p * t for p, t in made), np.zeros_like(counts)))
-        if best is None or sum(t for _, t in made) < sum(t for _, t in best):
-            best = made
+    for priced, parts in ((corner(solved, counts), shares[:1]), (solved, shares)):
+        for share in parts if priced or not counts.any() else ():
+            made = rounded(priced, share, counts)
+            if best is None or sum(t for _, t in made) < sum(t for _, t in best):
+                best = made
+            if sum(t for _, t in best) <= np.ceil(bound - 1e-6):
+                return out + best
     return out + best
 
 
