@@ -45,19 +45,6 @@ def test_walk_forward(spark, walk):
     assert np.allclose(got["prediction"][:390], again["prediction"][:390], equal_nan=True)
 
 
-def test_dynamic_forecast_sees_nothing_later(spark, walk):
-    level, x = walk
-    x = np.nan_to_num(x)
-    y = np.append(level[6:] - level[:-6], np.full(6, np.nan))
-    df = frame(spark, y, x).withColumnRenamed("level", "y").withColumn("y", models.F.nanvl("y", models.F.lit(None).cast("double")))
-    whole = models.dynamic_forecast(df, ["a", "b", "c"], "y", ["k"], 200).toPandas().sort_values("s").reset_index(drop=True)
-    part = models.dynamic_forecast(df.where("s < 300"), ["a", "b", "c"], "y", ["k"], 200).toPandas().sort_values("s").reset_index(drop=True)
-    assert whole["mean"][:200].isna().all() and whole["mean"][200:].notna().all() and (whole["sd"][200:] > 0).all()
-    assert np.allclose(whole["mean"][:300], part["mean"], equal_nan=True) and np.allclose(whole["sd"][:300], part["sd"], equal_nan=True)
-    at = whole.index[whole["updated"]]
-    assert len(at) > 30 and (np.diff(at) >= 6).all()
-
-
 def test_block_bootstrap(spark):
     rows = spark.createDataFrame([(i, float(i % 7), 1.0) for i in range(80)], "i long, x double, one double")
     drawn = models.block_starts(rows, 80, 50).toPandas().sort_values(["draw", "i"])
