@@ -60,9 +60,14 @@ def sum_over(x: Column, w: WindowSpec, least: int) -> Column:
 
 
 def deviation_over(x: Column, w: WindowSpec, least: int, ddof: int) -> Column:
-    """Standard deviation from exact whole sums; null under ``least`` values or without spread."""
-    n, s, q = F.count(x).over(w), F.sum(x).over(w), F.sum(x * x).over(w)
-    return F.when((n >= least) & (n > ddof) & (n * q > s * s), F.sqrt((n * q - s * s).cast("double") / (n * (n - ddof)).cast("double")))
+    """Standard deviation from exact whole sums; null under ``least`` values or without spread.
+
+    Squares and their sums are decimals, as those of large tables pass 64 bits.
+    """
+    wide = x.cast("decimal(19,0)")
+    n, s, q = F.count(x).over(w), F.sum(x).over(w).cast("decimal(19,0)"), F.sum(wide * wide).over(w)
+    spread = n * q - s * s
+    return F.when((n >= least) & (n > ddof) & (spread > 0), F.sqrt(spread.cast("double") / (n * (n - ddof)).cast("double")))
 
 
 def zscore_over(x: Column, w: WindowSpec, least: int) -> Column:
