@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["rolling_z250", "z_difference", "rolling_z60", "signal_figures", "trailing_z"]
+NAMES = ["rolling_z250", "z_difference", "rolling_z60", "signal_figures", "trailing_z", "z_groups"]
 
 
 @pytest.fixture(scope="module")
