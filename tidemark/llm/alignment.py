@@ -69,7 +69,7 @@ def sides(path_a: str, path_b: str) -> tuple[Side, Side, list[bytes]]:
 
     model, encode_a = sentencepiece.SentencePieceProcessor(model_file=path_b), token_ids(path_a, special=False)
     a = Side(lambda many: encode_a([f" {t}" for t in many]), byte_level_tokens(path_a))
-    b = Side(lambda many: model.encode(many, num_threads=1), piece_tokens(model))
+    b = Side(lambda many: [model.encode(t) for t in many], piece_tokens(model))  # a list would start threads
     return a, b, a.written("|") + b.written(";")
 
 
@@ -77,19 +77,26 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
     """(end, place of the A token, place of the B token) of each elementary interval.
 
     Between two neighbouring ends of either side lies one interval, which one token of each side owns: it is the overlap
-    of those two, and two tokens that overlap have one such interval.
+    of those two, and two tokens that overlap have one such interval. Ends are counted at every byte, not sorted.
     """
-    ends = np.union1d(ends_a, ends_b)
-    return ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    size = int(max(ends_a[-1:].sum(), ends_b[-1:].sum())) + 1
+    at_a, at_b = np.bincount(ends_a, minlength=size), np.bincount(ends_b, minlength=size)
+    ends = np.flatnonzero(at_a | at_b)
+    return ends, np.cumsum(at_a[ends]) - at_a[ends], np.cumsum(at_b[ends]) - at_b[ends]
 
 
-def written_groups(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, shared: np.ndarray, size_a: int, size_b: int) -> np.ndarray:
-    """Places in the table of ``sides`` for ``a1,a2|b1;a3|b2,b3;``: the groups' A and B ids in order."""
-    group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-    upto_a, upto_b = np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1
+def written_groups(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, size_a: int, size_b: int) -> np.ndarray:
+    """Places in the table of ``sides`` for ``a1,a2|b1;a3|b2,b3;``: the groups' A and B ids in order.
+
+    ``at_a`` and ``at_b`` say how many tokens end with each elementary interval; a group ends where tokens of both sides do.
+    """
+    shared = (at_a > 0) & (at_b > 0)
+    upto_a, upto_b = np.cumsum(at_a), np.cumsum(at_b)
+    first = np.zeros(len(at_a), np.int64)  # ends before, of those that close groups
+    first[1:] = np.cumsum(shared)[:-1]
     out = np.empty(len(a) + len(b), np.int64)
-    out[np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]] = a + (ends_a == shared[group_a]) * size_a
-    out[np.arange(len(b)) + upto_a[group_b]] = 2 * size_a + b + (ends_b == shared[group_b]) * size_b
+    out[np.arange(len(a)) + np.concatenate([[0], upto_b[shared]])[np.repeat(first, at_a)]] = a + np.repeat(shared, at_a) * size_a
+    out[np.arange(len(b)) + upto_a[shared][np.repeat(first, at_b)]] = 2 * size_a + b + np.repeat(shared, at_b) * size_b
     return out
 
 
@@ -105,9 +112,10 @@ def align(texts_: list[str], side_a: Side, side_b: Side, table: list[bytes], chu
             a, b = (np.fromiter(chain.from_iterable(x[k] for x in fine), np.int64) for k in (0, 1))
             ends_a, ends_b = np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b])
             ends, own_a, own_b = overlaps(ends_a, ends_b)
-            shared = ends[(ends_a[own_a] == ends) & (ends_b[own_b] == ends)]
+            at_a, at_b = np.diff(own_a, append=len(a)), np.diff(own_b, append=len(b))
             keys = (a[own_a] << SHIFT) | b[own_b]
-            written = list(map(table.__getitem__, written_groups(a, b, ends_a, ends_b, shared, len(side_a.bytes), len(side_b.bytes)).tolist()))
+            shared = ends[(at_a > 0) & (at_b > 0)]
+            written = list(map(table.__getitem__, written_groups(a, b, at_a, at_b, len(side_a.bytes), len(side_b.bytes)).tolist()))
             border = np.cumsum([x[2] for x in fine])
             links, groups = (np.searchsorted(x, border, "right").tolist() for x in (ends, shared))
         token = link = group = k = 0
