@@ -1,9 +1,10 @@
 import random
 import re
+from itertools import accumulate
 
 import xxhash
 
-from tidemark.llm.line_dedup import dedup_lines, stage
+from tidemark.llm.line_dedup import _running_sums, dedup_lines, stage
 
 
 def version(text):
@@ -97,3 +98,18 @@ def test_stage_keeps_columns_and_empty_table(spark):
     assert out.columns == df.columns and out.count() == 0
     df = spark.createDataFrame([(1, "abc", "x", 9, "k", "v")], "doc_id long, text string, version string, n_chars long, key string, runs string")
     assert [tuple(r) for r in stage(spark, df, "").collect()] == [(1, "abc", "x", 3, "k", "v")]
+
+
+def test_running_sums_across_blocks(spark):
+    rng = random.Random(12)
+    rows = [(n, [rng.randint(1, 2**20) for _ in range(n)]) for n in (1, 2, 31, 32, 33, 64, 1023, 1024, 1025, 33_000)]
+    got = _running_sums(spark.createDataFrame(rows, "id long, m array<int>"), "m", "ends", ["id"]).collect()
+    assert {r["id"]: r["ends"] for r in got} == {n: list(accumulate(m, initial=0)) for n, m in rows}
+
+
+def test_tiny_lines_and_lines_of_just_the_share(spark):
+    rng = random.Random(13)
+    tiny = [rng.choice("abcdefgh") * rng.randint(1, 2) + "\n" for _ in range(300)]
+    rows = [(1, "".join(tiny)), (2, "".join(tiny[20:97] + ["\n"] * 3 + tiny[100:260])), (3, "".join(tiny[250:])), (4, "\n" * 130)]
+    rows += [(5, "x" * 119 + "\n"), (6, "x" * 119 + "\n"), (7, "y" * 118 + "\n"), (8, "y" * 118 + "\n"), (9, "y" * 118 + "\nz"), (10, "q\n" + "y" * 118 + "\nz\n")]
+    assert cut_by_spark(spark, rows) == brute(rows)

@@ -29,8 +29,8 @@ def lines_of(text: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def hashes_of(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\n"))))
+def trimmed(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.btrim(x, F.lit(" \t\r\n")))
 
 
 def winnow(shape: DataFrame, min_chars: int, window: int = 3) -> DataFrame:
@@ -45,7 +45,7 @@ def winnow(shape: DataFrame, min_chars: int, window: int = 3) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0)))
     least = F.transform(starts, lambda i: F.array_min(F.slice("h", i + 1, window)))
     long = F.filter(F.zip_with("h", "m", lambda x, n: F.when(n * (window - 1) >= min_chars, x)), lambda x: x.isNotNull())
-    ordered = shape.select("*", F.array_distinct(F.concat(least, long)).alias("picks"), F.array_sort("h").alias("ordered"))
+    ordered = shape.select("*", F.array_distinct(F.concat(least, long)).alias("picks"), F.sort_array("h").alias("ordered"))
     return ordered.withColumn("twice", F.filter("ordered", lambda x, i: x == F.get("ordered", i + 1))).drop("ordered")
 
 
@@ -73,10 +73,17 @@ def _windows(marked: DataFrame, min_chars: int, bits: int, window: int = 3) -> D
     def code(first, lines):
         return F.shiftleft(first.cast("long"), bits) + lines
 
-    reached = sides.select("doc", "version", "h", F.transform("on", lambda on, i: F.when(on, _reach("m", i, 1, min_chars))).alias("k"), F.transform("on", lambda on, i: F.when(on, _reach("m", i, -1, min_chars))).alias("b"))
-    ahead = F.transform("k", lambda k, i: F.when(k.isNotNull(), code(i, k)))
-    back = F.transform("b", lambda b, i: F.when(b.isNotNull(), code(i + 1 - b, b)))
-    codes = reached.select("doc", "version", "h", F.array_distinct(F.concat(ahead, back)).alias("codes"))
+    # each start, moved on by min_chars, among the ends: the p-th of all, the i-th of its kind, has p - i of the other kind before it
+    ends = _running_sums(sides, "m", "ends", ["doc", "version", "h", "on"])
+    starts = F.transform(F.slice("ends", 1, F.size("h")), lambda x: 2 * (x + min_chars))
+    merged = ends.select("doc", "version", "h", "on", F.sort_array(F.concat(starts, F.transform("ends", lambda x: 2 * x + 1))).alias("merged"))
+
+    def places(kind):
+        return F.filter(F.transform("merged", lambda x, p: F.when(x.bitwiseAND(F.lit(1)) == kind, p)), lambda p: p.isNotNull())
+
+    ahead = F.transform(places(0), lambda p, i: F.when(F.get("on", i) & (p - i <= F.size("h")), code(i, p - 2 * i)))
+    back = F.transform(places(1), lambda p, i: F.when(F.get("on", i - 1) & (p > i), code(p - i - 1, 2 * i - p + 1)))
+    codes = merged.select("doc", "version", "h", F.array_distinct(F.concat(ahead, back)).alias("codes"))
 
     def keyed(c):
         return F.struct(F.xxhash64(F.slice("h", F.shiftright(c, bits).cast("int") + 1, c.bitwiseAND((1 << bits) - 1).cast("int"))).alias("key"), c.alias("code"))
@@ -99,15 +106,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     and nothing else goes.
     """
     some = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
-    base = some.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), lines_of(F.col("text")).alias("lines"))
-    lengths = F.transform("lines", lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) + 1)
-    shape = materialize(winnow(base.select("doc", "version", hashes_of(F.col("lines")).alias("h"), lengths.alias("m")), min_chars), "lines")
+    base = some.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), trimmed(lines_of(F.col("text"))).alias("lines"))
+    hashes, lengths = F.transform("lines", lambda x: F.xxhash64(x)), F.transform("lines", lambda x: F.length(x) + 1)
+    shape = materialize(winnow(base.select("doc", "version", hashes.alias("h"), lengths.alias("m")), min_chars), "lines")
     bits = int(min_chars).bit_length()
     windows = materialize(_windows(shape.join(_repeated_picks(shape), ["doc", "version"]), min_chars, bits), "windows")
     firsts = windows.groupBy("key").agg(F.min(F.struct("doc", "version", "code")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first")
     firsts = materialize(firsts, "firsts")
     later = windows.join(firsts, "key").where(F.struct("doc", "version", "code") > F.col("first"))
-    again = later.groupBy("doc", "version").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    again = later.groupBy("doc", "version").agg(F.sort_array(F.collect_set("code")).alias("codes"))
 
     def merge(done, code):
         a = F.shiftright(code, bits).cast("int")
@@ -122,20 +129,23 @@ def repeated_lines(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     return again.select("doc", "version", runs.alias("runs"))
 
 
-def _reach(n: str, at: Column, step: int, min_chars: int) -> Column:
-    """Number of lines from line ``at`` on (backwards where ``step`` is -1) that first make up ``min_chars``; null where they end before."""
-    found, total = F.when(F.lit(False), F.lit(0)), F.lit(0)
-    for k in range(6):
-        total = total + F.get(n, at + step * k)
-        found = found.when(total >= min_chars, F.lit(k + 1))
-    rest = F.slice(n, at + 1, F.lit(min_chars)) if step > 0 else F.reverse(F.slice(n, F.greatest(at + 2 - min_chars, F.lit(1)), F.least(at + 1, F.lit(min_chars))))
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("lines"))
+def _running_sums(df: DataFrame, n: str, name: str, keep: list[str], block: int = 32, levels: int = 3) -> DataFrame:
+    """``keep`` and ``name``: 0 and the sums of the first 1, 2, ... of the numbers ``n``, of which there is one at least.
 
-    def more(s, x):
-        return F.when(s["total"] >= min_chars, s).otherwise(F.struct((s["total"] + x).alias("total"), (s["lines"] + 1).alias("lines")))
+    Sums are made by blocks and the blocks' totals summed alike, as an array that grows by one is copied each time.
+    """
 
-    long = F.aggregate(rest, start, more, lambda s: F.when(s["total"] >= min_chars, s["lines"]))
-    return found.when(total.isNotNull(), long)  # a null total: the lines end within six
+    def grow(numbers):
+        return F.aggregate(numbers, F.array(F.lit(0).cast("long")), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+
+    if not levels:
+        return df.select(*keep, grow(F.col(n)).alias(name))
+    own, before = f"{name}_{levels}", f"{name}_before_{levels}"
+    blocks = F.transform(F.sequence(F.lit(1), F.size(n), F.lit(block)), lambda i: grow(F.slice(n, i, block)))
+    split = df.select(*keep, blocks.alias(own)).withColumn(n, F.transform(own, lambda b: F.element_at(b, -1)))
+    summed = _running_sums(split, n, before, [*keep, own], block, levels - 1)
+    moved = F.zip_with(own, F.slice(before, 1, F.size(own)), lambda b, x: F.transform(F.slice(b, 1, F.size(b) - 1), lambda y: y + x))
+    return summed.select(*keep, F.concat(F.flatten(moved), F.slice(before, -1, 1)).alias(name))
 
 
 def without_lines(text: Column, runs: Column) -> Column:
